@@ -1,0 +1 @@
+"""Queries and SQL oracles over the driver tables."""

@@ -1,0 +1,152 @@
+"""Sessions, windows, history joins and answer text features over the tries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driver.registry import query
+from driver.views import LEARNER, SESSION_TRIES_SQL, TRIES_SQL, session_tries, tries
+from recall_engine.functions import text
+from recall_engine.operators import history
+from recall_engine.operators import ordered_scan as scan
+
+ID = "id_historical_data"
+WORD = [*LEARNER, "id_vocab"]
+SAME = "PARTITION BY learner_id, id_vocab, language_asked ORDER BY id_historical_data"
+ANY = "PARTITION BY learner_id, id_vocab ORDER BY id_historical_data"
+
+# --- D1 and everything it consists of ---------------------------------------------------------------
+
+
+def _clean_sql(column: str, articles: str) -> str:
+    return f"array_to_string(list_filter(string_split(lower({column}), ' '), lambda t: t NOT IN ({articles})), ' ')"
+
+
+GERMAN = "'der', 'die', 'das'"
+ENGLISH = "'the', 'to'"
+OWN_SQL = f""", fx_own AS (
+  SELECT t.*,
+    CASE WHEN language_asked = 'german' AND split_part(german_word, ' ', 1) IN ({GERMAN})
+         THEN split_part(guess, ' ', 1) = split_part(german_word, ' ', 1) END AS correct_article,
+    CASE language_asked
+      WHEN 'german' THEN levenshtein({_clean_sql('german_word', GERMAN)}, {_clean_sql('guess', GERMAN)})
+      WHEN 'english' THEN levenshtein({_clean_sql('english_word', ENGLISH)}, {_clean_sql('guess', ENGLISH)})
+    END AS distance,
+    CASE WHEN language_asked = 'german'
+         THEN regexp_matches(german_word, '[A-Z]') AND lower(german_word) = guess END AS only_uppercase,
+    write_it_again IS NOT NULL AS again,
+    (length(write_it_again) - length(replace(write_it_again, german_word, ''))) / length(german_word) AS again_german,
+    (length(write_it_again) - length(replace(write_it_again, english_word, ''))) / length(english_word) AS again_english,
+    coalesce(is_it_another_word, FALSE) AS confused,
+    CASE WHEN is_it_another_word THEN coalesce(confused_word = 0, FALSE) END AS confused_unknown,
+    CASE WHEN result = 1 THEN day END AS success_day,
+    min(day) OVER (PARTITION BY learner_id, id_vocab, language_asked) AS first_same,
+    min(day) OVER (PARTITION BY learner_id, id_vocab) AS first_any
+  FROM fx_session_tries t)"""
+
+D1_SQL = f"""{OWN_SQL}, fx_features AS (
+  SELECT id_historical_data, learner_id, id_vocab, language_asked, id_session, result,
+    CAST(row_number() OVER ({SAME}) - 1 AS BIGINT) AS past_occurrences_same_language,
+    CAST(row_number() OVER ({ANY}) - 1 AS BIGINT) AS past_occurrences_any_language,
+    round((row_number() OVER ({SAME}) - 1 + score_before) / 2, 6) AS past_successes_same_language,
+    round((row_number() OVER ({SAME}) - 1 - score_before) / 2, 6) AS past_fails_same_language,
+    round((row_number() OVER ({ANY}) - 1 + score_before + score_before_other_language) / 2, 6)
+      AS past_successes_any_language,
+    round((row_number() OVER ({ANY}) - 1 - score_before - score_before_other_language) / 2, 6)
+      AS past_fails_any_language,
+    score_before AS previous_score,
+    score_before_other_language AS previous_score_other_language,
+    CAST(datediff('day', lag(day) OVER ({SAME}), day) AS BIGINT) AS days_since_last_occurrence_same_language,
+    CAST(datediff('day', lag(day) OVER ({ANY}), day) AS BIGINT) AS days_since_last_occurrence_any_language,
+    CAST(datediff('day', lag(success_day) OVER ({SAME}), success_day) AS BIGINT)
+      AS days_since_last_success_same_language,
+    CAST(datediff('day', lag(success_day) OVER ({ANY}), success_day) AS BIGINT)
+      AS days_since_last_success_any_language,
+    CAST(lag(datediff('day', first_same, day)) OVER ({SAME}) AS BIGINT) AS days_since_first_occur_same_language,
+    CAST(lag(datediff('day', first_any, day)) OVER ({ANY}) AS BIGINT) AS days_since_first_occur_any_language,
+    lag(result) OVER ({SAME}) AS previous_result,
+    lag(correct_article) OVER ({SAME}) AS previous_correct_article,
+    CAST(lag(distance) OVER ({SAME}) AS BIGINT) AS previous_levenshtein_distance_guess_answer,
+    lag(only_uppercase) OVER ({SAME}) AS previous_only_missed_uppercase,
+    lag(question_time) OVER ({SAME}) AS previous_question_time,
+    lag(again) OVER ({SAME}) AS previous_write_it_again_not_null,
+    round(lag(again_german) OVER ({SAME}), 6) AS previous_write_it_again_german,
+    round(lag(again_english) OVER ({SAME}), 6) AS previous_write_it_again_english,
+    lag(confused) OVER ({SAME}) AS previous_confused_with_another_word,
+    lag(confused_unknown) OVER ({SAME}) AS previous_confused_with_an_unknown_word,
+    lag(language_asked) OVER ({ANY}) AS previous_language_asked,
+    CAST(weekofyear(datetime) AS BIGINT) AS week_number,
+    CAST(isodow(datetime) AS BIGINT) AS day_week,
+    CAST(hour(datetime) AS BIGINT) AS hour,
+    CAST(row_number() OVER (PARTITION BY learner_id, id_session ORDER BY id_historical_data) AS BIGINT)
+      AS nb_words_session
+  FROM fx_own)"""
+
+D1_COLUMNS = [
+    ID,
+    "learner_id",
+    "id_vocab",
+    "language_asked",
+    "id_session",
+    "result",
+    "past_occurrences_same_language",
+    "past_occurrences_any_language",
+    "past_successes_same_language",
+    "past_fails_same_language",
+    "past_successes_any_language",
+    "past_fails_any_language",
+    "previous_score",
+    "previous_score_other_language",
+    "days_since_last_occurrence_same_language",
+    "days_since_last_occurrence_any_language",
+    "days_since_last_success_same_language",
+    "days_since_last_success_any_language",
+    "days_since_first_occur_same_language",
+    "days_since_first_occur_any_language",
+    "previous_result",
+    "previous_correct_article",
+    "previous_levenshtein_distance_guess_answer",
+    "previous_only_missed_uppercase",
+    "previous_question_time",
+    "previous_write_it_again_not_null",
+    "previous_write_it_again_german",
+    "previous_write_it_again_english",
+    "previous_confused_with_another_word",
+    "previous_confused_with_an_unknown_word",
+    "previous_language_asked",
+    "week_number",
+    "day_week",
+    "hour",
+    "nb_words_session",
+]
+FEATURES_SQL = f"{SESSION_TRIES_SQL}{D1_SQL}"
+
+
+def features(spark, sf):
+    return history.try_features(session_tries(spark, sf), LEARNER)
+
+
+@query("d1_try_features", f"WITH {FEATURES_SQL} SELECT * FROM fx_features")
+def d1(spark, sf):
+    return features(spark, sf).select(*D1_COLUMNS)
+
+
+# --- sessions ---------------------------------------------------------------------------------------
+
+
+@query("w1_sessionize", f"WITH {SESSION_TRIES_SQL} SELECT id_historical_data, learner_id, id_session FROM fx_session_tries")
+def w1(spark, sf):
+    return history.sessionize(tries(spark, sf), LEARNER).select(ID, "learner_id", "id_session")
+
+
+@query(
+    "w1_sessionize_one_learner_one_hour",
+    f"""WITH {TRIES_SQL}, g AS (
+      SELECT id_historical_data, coalesce(datetime - lag(datetime) OVER (ORDER BY id_historical_data)
+             > INTERVAL '4' MINUTE, FALSE) AS opens FROM fx_tries)
+    SELECT id_historical_data, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END)
+           OVER (ORDER BY id_historical_data ROWS UNBOUNDED PRECEDING) AS BIGINT) AS id_session FROM g""",
+)
+def w1_single(spark, sf):
+    # The whole log is one group here and runs in chunks with carried state.
+    return history.sessionize(tries(spark, sf), gap="INTERVAL '4' MINUTE").select(ID, "id_session")
