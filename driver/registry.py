@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "history_queries",
+    "vocab_queries",
+    "dataset_queries",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

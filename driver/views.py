@@ -150,8 +150,17 @@ TRIES_SQL = (
 
 def session_tries(spark: SparkSession, sf: str, partition_by: list[str] | None = None) -> DataFrame:
     """Tries with session and scores, per learner or (``[]``) as the history of a single learner."""
+    return marked_session_tries(spark, sf, partition_by)[0]
+
+
+def marked_session_tries(
+    spark: SparkSession, sf: str, partition_by: list[str] | None = None
+) -> tuple[DataFrame, int]:
+    """As :func:`session_tries`, with the hot-group marks for further operators."""
     keys = LEARNER if partition_by is None else partition_by
-    return history.running_scores(history.sessionize(tries(spark, sf), keys), keys)
+    marked, hot_rows = history.mark_hot_groups(tries(spark, sf), keys)
+    scored = history.running_scores(history.sessionize(marked, keys, hot_rows=hot_rows), keys, hot_rows)
+    return scored, hot_rows
 
 
 def _session_sql(keys: str) -> str:

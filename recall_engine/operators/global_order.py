@@ -21,7 +21,7 @@ def _sorted_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return ranked.withColumns(
         {
             "_range": F.shiftright("_slot", _RANGE_BITS),
-            "_place": F.col("_slot").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1)),
+            "_in_range": F.col("_slot").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1)),
         }
     ).drop("_slot")
 
@@ -35,8 +35,8 @@ def dense_id(df: DataFrame, order: list[str | Column], name: str, start: int | C
     first = F.lit(start) if isinstance(start, int) else start
     return (
         ranged.join(F.broadcast(offsets), "_range")  # one row per range
-        .withColumn(name, (F.col("_offset") + F.col("_place") + first).cast("long"))
-        .drop("_range", "_place", "_offset")
+        .withColumn(name, (F.col("_offset") + F.col("_in_range") + first).cast("long"))
+        .drop("_range", "_in_range", "_offset")
     )
 
 
@@ -51,7 +51,7 @@ def prefix_sums(
     ranged = _sorted_ranges(df, [*keys, *order])
     inside = (
         Window.partitionBy("_range", *keys)
-        .orderBy("_place")
+        .orderBy("_in_range")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
@@ -65,7 +65,7 @@ def prefix_sums(
     on = ["_range", *keys]
     joined = local.join(carry if keys else F.broadcast(carry), on)
     return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(
-        "_range", "_place", *[f"_c_{n}" for n in sums]
+        "_range", "_in_range", *[f"_c_{n}" for n in sums]
     )
 
 

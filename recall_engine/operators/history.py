@@ -34,6 +34,21 @@ def with_known_keys(df: DataFrame) -> DataFrame:
     return df.filter(F.col("id_vocab").isNotNull() & F.col("language_asked").isNotNull())
 
 
+def mark_hot_groups(
+    df: DataFrame, partition_by: Sequence[str] = (), hot_rows: int | None = None
+) -> tuple[DataFrame, int]:
+    """Look for oversized learners and words once for a chain of operators.
+
+    Returns the frame, with chunk columns where there are any, and the ``hot_rows`` to pass on.
+    """
+    keys = list(partition_by)
+    marked, learner_chunk = scan.split_hot_groups(df, keys, ORDER, LEARNER_CHUNK, hot_rows)
+    if learner_chunk is None:
+        return df, NEVER_HOT  # a word of a learner cannot outgrow the learner
+    marked, _ = scan.split_hot_groups(marked, [*keys, "id_vocab"], ORDER, WORD_CHUNK, hot_rows)
+    return marked, NEVER_HOT
+
+
 def sessionize(
     df: DataFrame,
     partition_by: Sequence[str] = (),
@@ -228,11 +243,8 @@ def try_features(
     When no learner is oversized, one shuffle on the learner serves every window below.
     """
     known = with_known_keys(df)
-    if partition_by and LEARNER_CHUNK not in known.columns:
-        known, learner_chunk = scan.split_hot_groups(known, list(partition_by), ORDER, LEARNER_CHUNK, hot_rows)
-        if learner_chunk is None:
-            # No learner is oversized, so neither is any word of a learner.
-            hot_rows = NEVER_HOT
+    if hot_rows != NEVER_HOT:
+        known, hot_rows = mark_hot_groups(known, partition_by, hot_rows)
     placed = session_position(known, partition_by, hot_rows)
     rich = word_history(same_try_features(placed), partition_by, semantics, hot_rows)
     done = calendar(successes_and_fails(rich))
