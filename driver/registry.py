@@ -14,6 +14,7 @@ MODULES = (
     "history_queries",
     "vocab_queries",
     "dataset_queries",
+    "stream_queries",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

@@ -60,16 +60,18 @@ VOCAB_SQL = """fx_vocab AS (
   FROM part)"""
 
 
-def tries(spark: SparkSession, sf: str) -> DataFrame:
+def tries(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """All events as tries: each learner repeats a deck of words in both directions.
 
     The guess is right when ``value >= 30``, else one of four distortions (lower case, a prefix, nothing,
     another word of the dictionary). A lower-cased word that was lower case anyway stays right.
+    ``events`` may be a stream of the same table.
     """
     event = F.col("event_id")
     words = vocab(spark, sf).select("id_vocab", "german", "english")
     asked = F.when(F.shiftright(event, 2) % 2 == 0, "german").otherwise("english")
-    log = table(spark, sf, "events").select(
+    source = table(spark, sf, "events") if events is None else events
+    log = source.select(
         event.alias("id_historical_data"),
         F.col("user_id").alias("learner_id"),
         (F.col("user_id") * STEP + event % DECK).alias("id_vocab"),

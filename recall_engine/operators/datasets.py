@@ -88,6 +88,7 @@ def future_tries(
         F.to_date(now).alias("day"),
         (F.col("max_id_session") + 1).alias("id_session"),
         (F.col("max_id_historical_data") + 1 + F.col("_place")).cast("long").alias(history.ORDER),
+        (F.col("_place") + 1).alias("nb_words_session"),
     )
 
 
@@ -102,7 +103,7 @@ def next_session_by_union(
     past = tries.withColumns(
         {"scenario": F.explode(F.array(*[F.lit(x) for x in LANGUAGES])), "is_future": F.lit(False)}
     )
-    coming = future.withColumns({"scenario": F.col("language_asked"), "is_future": F.lit(True)})
+    coming = future.drop("nb_words_session").withColumns({"scenario": F.col("language_asked"), "is_future": F.lit(True)})
     both = past.unionByName(coming, allowMissingColumns=True)
     done = history.try_features(both, [*partition_by, "scenario"], semantics)
     return done.filter("is_future").drop("scenario", "is_future")
@@ -160,11 +161,6 @@ def next_session_features(
         columns[f"previous_{name}"] = F.col(f"_last_same.{name}")
     columns["previous_language_asked"] = F.col("_last_any.language_asked")
     done = history.calendar(history.successes_and_fails(picked.withColumns(columns)))
-    first = Window.partitionBy(*partition_by) if partition_by else None
-    start = (
-        F.min(history.ORDER).over(first) if first is not None else future.agg(F.min(history.ORDER)).scalar()
-    )
-    done = done.withColumn("nb_words_session", F.col(history.ORDER) - start + 1)
     return done.drop(*[c for c in done.columns if c.startswith("_")])
 
 
