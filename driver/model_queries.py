@@ -1,0 +1,173 @@
+"""Models, search, oversampling and the end-to-end plans, all on the whole tries table.
+
+Tree counts are small here so that one query stays short; the settings' defaults are the full size.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driver import dataset_queries, vocab_queries
+from driver.registry import query
+from driver.views import LEARNER, TRIES_SQL, marked_session_tries, tries, vocab
+from recall_engine.operators import datasets, history, oversampling, prep, reports
+from recall_engine.plans import models, next_session, search
+from recall_engine.staging import new_path, stage
+
+ID = "id_historical_data"
+NOW = dataset_queries.NOW
+SMALL_TREES = models.BoostingSettings(trees=8, learning_rate=0.3, max_depth=4)
+NUMBERS = [
+    "previous_score",
+    "past_occurrences_same_language",
+    "past_occurrences_any_language",
+    "hour",
+    "day_week",
+    "nb_words_session",
+    "previous_question_time",
+    "nb_characters_german",
+]
+
+
+def split_rows(spark, sf):
+    """Training set with its split, written once because training reads it many times."""
+    return stage(datasets.split_by_session(dataset_queries.training_set(spark, sf), LEARNER), "dataset")
+
+
+def numbers(spark, sf):
+    """Plain numeric inputs with the label."""
+    rows = prep.impute(dataset_queries.training_set(spark, sf)).select(*NUMBERS, F.col("result").alias("label"))
+    return rows.fillna(0.0)
+
+
+PRIOR_SQL = f"""WITH {TRIES_SQL} SELECT id_historical_data, round((SELECT avg(result) FROM fx_tries), 6) AS y_proba,
+  CASE WHEN (SELECT avg(result) FROM fx_tries) > 0.5 THEN 1.0E0 ELSE 0.0E0 END AS y_pred FROM fx_tries"""
+
+
+@query("m1_prior_classifier", PRIOR_SQL)
+def m1(spark, sf):
+    rows = tries(spark, sf).select(ID, "result")
+    return models.PriorModel.fit(rows).predict(rows).select(ID, "y_proba", "y_pred")
+
+
+def logistic_model(spark, sf, rows):
+    return models.fit_logistic(rows.filter("split = 'train'"), models.LogisticSettings(keep=None))
+
+
+@query("m2_logistic_regression")
+def m2(spark, sf):
+    rows = split_rows(spark, sf)
+    return logistic_model(spark, sf, rows).predict(rows.filter("split <> 'train'")).select(ID, "y_pred", "y_proba")
+
+
+@query("m3_coefficients")
+def m3(spark, sf):
+    return logistic_model(spark, sf, split_rows(spark, sf)).coefficients()
+
+
+def boosted(rows):
+    return models.fit_boosting(rows.filter("split = 'train'"), SMALL_TREES, rows.filter("split = 'valid'"))
+
+
+@query("m4_gradient_boosting")
+def m4(spark, sf):
+    rows = split_rows(spark, sf)
+    return boosted(rows).predict(rows.filter("split = 'test'")).select(ID, "y_pred", "y_proba")
+
+
+@query("m5_predict_with_target")
+def m5(spark, sf):
+    rows = split_rows(spark, sf)
+    scored = boosted(rows).predict(rows.filter("split = 'test'"))
+    return scored.select(ID, F.col("result").alias("y_true"), "y_pred", "y_proba")
+
+
+@query("m6_evaluate_model")
+def m6(spark, sf):
+    rows = split_rows(spark, sf)
+    return boosted(rows).evaluate(rows.filter("split = 'test'"))
+
+
+@query("s9_save_and_load_model")
+def s9(spark, sf):
+    rows = split_rows(spark, sf)
+    path = new_path(spark, "model")
+    logistic_model(spark, sf, rows).save(path)
+    return models.FittedModel.load(path).predict(rows.filter("split = 'test'")).select(ID, "y_pred", "y_proba")
+
+
+@query("m7_grid_search")
+def m7(spark, sf):
+    rows = split_rows(spark, sf).filter("split = 'train'")
+    return search.logistic_grid(rows, c_values=(1.0, 100.0), keeps=(50,), folds=3, max_iter=20)
+
+
+def searched(spark, sf):
+    rows = dataset_queries.training_set(spark, sf)
+    folds = datasets.expanding_folds(rows, 2, 2, LEARNER)
+    trials = search.random_boosting_settings(2, seed=1, trees=3)
+    return search.search_boosting(folds, [models.replace(t, max_depth=5) for t in trials])
+
+
+@query("m8_search_over_folds")
+def m8(spark, sf):
+    return searched(spark, sf).select("number", "value", "params")
+
+
+@query("m9_best_trial")
+def m9(spark, sf):
+    return reports.best_trial(searched(spark, sf), "value", "number", minimize=False).select("number", "value", "params")
+
+
+@query("p7_principal_components")
+def p7(spark, sf):
+    rows = numbers(spark, sf).withColumn("n", F.lit(1))
+    return models.principal_components(rows, NUMBERS, 4, ["label"]).select(
+        "label", *[F.abs(f"component_{i:02d}").alias(f"component_{i:02d}") for i in range(1, 5)]
+    )
+
+
+@query("f27_explained_variance")
+def f27(spark, sf):
+    components = models.principal_components(numbers(spark, sf), NUMBERS, 4)
+    return models.explained_variance(components, components.columns)
+
+
+@query("p8_eliminate_features")
+def p8(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = numbers(spark, sf)
+    scaled = prep.Scaler.fit(rows, NUMBERS).transform(rows)
+    training = stage(VectorAssembler(inputCols=NUMBERS, outputCol="all").transform(scaled).select("all", "label"), "rfe")
+    classifier = models.logistic(models.LogisticSettings(), training.count(), "kept")
+    ranking = models.eliminate_features(training, NUMBERS, 4, classifier)
+    return spark.createDataFrame(ranking, "feature STRING, rank INT")
+
+
+@query(
+    "p9_smote",
+    f"""WITH {TRIES_SQL}, n AS (SELECT result, count(*) AS n FROM fx_tries GROUP BY 1)
+    SELECT result AS label, (SELECT max(n) FROM n) AS n FROM n""",
+)
+def p9(spark, sf):
+    return oversampling.smote(numbers(spark, sf), NUMBERS, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d6_score_next_session")
+def d6(spark, sf):
+    """Every learner has a vocabulary of the words they have met."""
+    scored, _ = marked_session_tries(spark, sf)
+    log = stage(history.drop_marks(scored), "history")
+    decks = log.select(*LEARNER, "id_vocab").distinct().join(vocab(spark, sf), "id_vocab")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    lists = vocab_queries.word_lists(spark, sf)
+    return next_session.prepare(log, decks, lists, now, SMALL_TREES, LEARNER).predictions
+
+
+@query("d7_report_of_scored_session")
+def d7(spark, sf):
+    known = d6(spark, sf).groupBy("id_vocab").agg(
+        F.avg("english_proba").alias("english_proba"), F.avg("german_proba").alias("german_proba")
+    )
+    return next_session.post_review_report(vocab(spark, sf), known)

@@ -15,6 +15,7 @@ MODULES = (
     "vocab_queries",
     "dataset_queries",
     "stream_queries",
+    "model_queries",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

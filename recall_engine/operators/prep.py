@@ -127,11 +127,14 @@ class LabelIndex:
 
     def _inline(self, column: str) -> Column:
         known = self.inline[column]
-        entries = [e for v, i in known.items() if v is not None for e in (F.lit(v), F.lit(float(i)))]
-        found = F.try_element_at(F.create_map(*entries), F.col(column).cast("string")) if entries else F.lit(None)
-        if None in known:
-            return F.when(F.col(column).isNull(), F.lit(float(known[None]))).otherwise(found)
-        return found.cast("double")
+        return _coded(column, {v: i for v, i in known.items() if v is not None}, known.get(None))
+
+    def as_inline(self) -> dict[str, dict]:
+        """Plain values (they survive JSON): the codes of known values and the code of missing ones."""
+        return {
+            c: {"codes": {v: i for v, i in known.items() if v is not None}, "missing": known.get(None)}
+            for c, known in self.inline.items()
+        }
 
     def inverse(self, dataset: DataFrame) -> DataFrame:
         """Indices back to values."""
@@ -142,3 +145,19 @@ class LabelIndex:
             )
             result = result.join(side, column, "left").withColumn(column, F.col("_value")).drop("_value")
         return result.select(*dataset.columns)
+
+
+def _coded(column: str, codes: dict[str, int], missing: int | None) -> Column:
+    """Index of the value; null for a value (or a missing one) that training did not see."""
+    entries = [e for v, i in codes.items() for e in (F.lit(v), F.lit(float(i)))]
+    known = F.lit(None).cast("double")
+    if entries:
+        known = F.try_element_at(F.create_map(*entries), F.col(column).cast("string"))
+    gap = F.lit(None if missing is None else float(missing)).cast("double")
+    return F.when(F.col(column).isNull(), gap).otherwise(known)
+
+
+def apply_inline_index(dataset: DataFrame, index: dict[str, dict]) -> DataFrame:
+    """Replace values by their index; rows with an unseen value are left out."""
+    coded = dataset.withColumns({c: _coded(c, known["codes"], known["missing"]) for c, known in index.items()})
+    return coded.dropna(subset=list(index))
