@@ -35,11 +35,21 @@ def with_event_time(tries: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def session_progress(tries: DataFrame, partition_by: Sequence[str], gap: str = SESSION_GAP) -> DataFrame:
-    """Tries and known words per learner and session. As a stream in append mode: closed sessions only."""
+    """Tries and known words per learner and session. As a stream in append mode: closed sessions only.
+
+    Start and end are aggregates, not fields of the window: the optimizer moves a filter on a grouping
+    key below the aggregation, where the windows are not merged yet, and would split sessions.
+    """
+    time = F.col("datetime")
     return (
         tries.groupBy(*partition_by, session_key(gap).alias("session"))
-        .agg(F.count(F.lit(1)).alias("tries"), F.count_if(F.col("result") == 1).alias("known_words"))
-        .select(*partition_by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "tries", "known_words")
+        .agg(
+            F.min(time).alias("start"),
+            (F.max(time) + F.expr(f"INTERVAL '{gap}'")).alias("end"),
+            F.count(F.lit(1)).alias("tries"),
+            F.count_if(F.col("result") == 1).alias("known_words"),
+        )
+        .drop("session")
     )
 
 
