@@ -181,9 +181,9 @@ def r1(spark, sf):
 )
 def r2_stream(spark, sf):
     folder = new_path(spark, "vocab")
-    versions = review_stream.VocabVersions(review.start_session(vocab(spark, sf)), folder)
+    versions = review_stream.VocabVersions.create(review.start_session(vocab(spark, sf)), folder)
     versions.run(try_stream(spark, sf), f"{folder}-progress").awaitTermination()
-    return versions.at(versions.latest).drop("german", "english")
+    return versions.latest().drop("german", "english")
 
 
 PROGRESS_SQL = f"""{TRIES_SQL}, g AS (

@@ -312,7 +312,9 @@ def j9(spark, sf):
     FROM fx_flagged f LEFT JOIN g ON g.w = f.guess LEFT JOIN e ON e.w = f.guess""",
 )
 def j10(spark, sf):
-    return review.resolve_confusion(flagged(spark, sf), vocab(spark, sf)).select("id_historical_data", "confused_word")
+    checked = review.check_answer(tries(spark, sf))
+    done = review.resolve_guesses(checked, vocab(spark, sf), all_words(spark, sf))
+    return done.select("id_historical_data", "confused_word")
 
 
 @query(
@@ -417,7 +419,7 @@ LIST_DRAW = "CAST(('0x' || substr(md5('42:' || \"German\" || ':' || \"English\")
 )
 def k3(spark, sf):
     lists = word_lists(spark, sf).select("German", "English")
-    return vocabulary.sample_words(lists, 42).withColumnRenamed("_draw", "draw")
+    return vocabulary.sample_words(lists, 42).withColumnRenamed("_draw", "draw").drop("_place")
 
 
 def _step_sql(step):

@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.staging import durable
+from recall_engine.staging import stage
 
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
 def _sorted_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Sort globally and keep, per row, its range and its position inside the range."""
-    ranked = durable(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
+    """Sort globally and keep, per row, its range and its position inside the range.
+
+    The sorted rows are written once: counting the ranges then reads one column, and no second sampling
+    of the bounds can disagree with the first.
+    """
+    ranked = stage(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()), "sorted")
     return ranked.withColumns(
         {
             "_range": F.shiftright("_slot", _RANGE_BITS),

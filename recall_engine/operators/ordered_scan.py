@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.staging import durable
+from recall_engine.staging import stage
 
 HOT_GROUP_ROWS = 1_000_000
 CHUNK_ROWS = 1_000_000
@@ -87,7 +87,7 @@ def split_hot_groups(
         # A counted, small list of keys: broadcast.
         marks = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
     else:
-        marks = durable(hot).withColumn("_hot", F.lit(True))
+        marks = stage(hot, "hot-groups").withColumn("_hot", F.lit(True))
     marked = df.join(marks, keys, "left").withColumn(chunk, F.when(F.col("_hot"), position)).drop("_hot")
     return marked, chunk
 

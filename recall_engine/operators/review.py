@@ -56,6 +56,27 @@ def resolve_confusion(flagged: DataFrame, vocab: DataFrame, order: str = "id_voc
     )
 
 
+def resolve_guesses(checked: DataFrame, vocab: DataFrame, all_vocab: DataFrame, order: str = "id_vocab") -> DataFrame:
+    """:func:`flag_other_words` and :func:`resolve_confusion` together, with one join instead of two.
+
+    Both dictionaries are merged into one row per word first. Nothing after the join relies on its
+    partitioning, so AQE is free to split a guess that a large part of the tries has in common.
+    """
+    words = all_vocab.select(
+        "german", "english", F.lit(None).cast("long").alias("_id"), F.lit(None).alias("_order"), F.lit(True).alias("_in")
+    ).unionByName(
+        vocab.select("german", "english", F.col("id_vocab").alias("_id"), F.col(order).alias("_order"), F.lit(False).alias("_in"))
+    )
+    lookup = _by_word(words, F.max("_in").alias("_known"), F.min_by("_id", "_order").alias("_first"))
+    joined = checked.drop("is_it_another_word", "confused_word").join(lookup, ["language_asked", "guess"], "left")
+    another = F.when(~F.col("is_it_correct"), F.coalesce("_known", F.lit(False)))
+    return (
+        joined.withColumn("is_it_another_word", another)
+        .withColumn("confused_word", F.when(F.col("is_it_another_word"), F.coalesce("_first", F.lit(0)).cast("long")))
+        .drop("_known", "_first")
+    )
+
+
 def score_changes(checked: DataFrame) -> DataFrame:
     """Per word: net score change and whether it was tried, for each direction."""
     point = F.when(F.col("is_it_correct"), 1).otherwise(-1)

@@ -11,7 +11,7 @@ from recall_engine.functions import text
 from recall_engine.functions.hashing import uniform
 from recall_engine.operators.global_order import dense_id
 from recall_engine.schemas import ENGLISH_ARTICLES, GERMAN_ARTICLES
-from recall_engine.staging import durable
+from recall_engine.staging import stage
 
 # Difficulty points per word list; two lists are named after their course level.
 LIST_POINTS = {
@@ -92,23 +92,24 @@ def new_words(word_list: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def sample_words(words: DataFrame, seed: int, most: int = MAX_NEW_WORDS) -> DataFrame:
-    """At most ``most`` random rows, repeatable: smallest hash of the row first."""
-    return words.withColumn("_draw", uniform(seed, F.col("German"), F.col("English"))).orderBy(
-        "_draw", "German", "English"
-    ).limit(most)
+    """At most ``most`` random rows, repeatable: smallest hash of the row first.
+
+    Adds the draw ``_draw`` and the number ``_place`` of the row. Numbering the sorted rows keeps a large
+    sample out of the single task that ends a plain limit. Equal rows have equal draws and neighbour numbers.
+    """
+    drawn = words.withColumn("_draw", uniform(seed, F.col("German"), F.col("English")))
+    return dense_id(drawn, ["_draw", "German", "English"], "_place").filter(F.col("_place") < most)
 
 
 def add_words(vocab: DataFrame, lists: Sequence[DataFrame], seed: int = 42) -> DataFrame:
     """Append the new words of each list, lists in priority order, with ids after the largest one.
 
-    A later list sees the words of the earlier ones as known. Each step is made durable, so the plan does
+    A later list sees the words of the earlier ones as known. Each step is written, so the plan does
     not grow with the number of lists; word lists are the only thing looped over.
     """
     current = vocab
     for word_list in lists:
-        fresh = sample_words(new_words(word_list.select("German", "English"), current), seed)
-        # Equal rows of a list have equal draws; the running number tells them apart.
-        numbered = dense_id(fresh, ["_draw", "German", "English"], "_place")
+        numbered = sample_words(new_words(word_list.select("German", "English"), current), seed)
         last = current.agg(F.coalesce(F.max("id_vocab"), F.lit(0))).scalar()
         added = numbered.select(
             (last + 1 + F.col("_place")).cast("long").alias("id_vocab"),
@@ -119,7 +120,7 @@ def add_words(vocab: DataFrame, lists: Sequence[DataFrame], seed: int = 42) -> D
             F.lit(False).alias("try_session_german_english"),
             F.lit(False).alias("try_session_english_german"),
         )
-        current = durable(current.unionByName(added))
+        current = stage(current.unionByName(added), "vocab")
     return current
 
 

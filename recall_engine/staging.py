@@ -1,8 +1,8 @@
 """Durable intermediate results in the shared folder of the cluster.
 
-A plan that must see exactly the same rows twice (range partitions with their own offsets, an
-iterative fold, a trained sample) is cut here. The rows go to reliable storage, so a lost executor
-costs a re-read and never a different sampling of the range bounds.
+A plan that must see exactly the same rows twice (sorted ranges with their own offsets, an iterative
+fold, the rows of a training) is cut here by a written table. A lost executor then costs a re-read and
+never a different sampling of the range bounds.
 """
 
 from __future__ import annotations
@@ -28,18 +28,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/recall/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and return it with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back: the hand-over between the steps of a plan.
 
-    Prefer this over :func:`durable` for wide rows, since readers prune columns and push filters.
+    Readers prune columns and push filters. Staged tables stay until the folder is cleaned.
     """
     spark = df.sparkSession
     target = path or new_path(spark, label)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from recall_engine.operators import review
 from recall_engine.staging import new_path
@@ -20,8 +21,7 @@ def enrich(tries: DataFrame, vocab: DataFrame, all_vocab: DataFrame) -> DataFram
 
     The dictionary sides are static with one row per word, so a stream joins them without state.
     """
-    checked = review.check_answer(tries)
-    return review.resolve_confusion(review.flag_other_words(checked, all_vocab), vocab)
+    return review.resolve_guesses(review.check_answer(tries), vocab, all_vocab)
 
 
 def session_key(gap: str = SESSION_GAP, time: str = "datetime") -> Column:
@@ -68,15 +68,18 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 class VocabVersions:
     """A vocabulary table that micro-batches of tries update: one parquet version per batch.
 
-    Batch ``n`` always reads the version before it and writes version ``n``, so a batch that is run again
-    after a failure gives the same table and counts no try twice.
+    Batch ``n`` always reads version ``n - 1`` and writes version ``n``, so a batch that runs again after
+    a failure gives the same table and counts no try twice. Create the table once; a restarted stream opens it.
     """
 
-    def __init__(self, vocab: DataFrame, folder: str):
-        self.spark = vocab.sparkSession
-        self.schema = vocab.schema
-        self.folder = folder.rstrip("/")
-        vocab.write.mode("errorifexists").parquet(self._path(-1))
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.spark, self.schema, self.folder = spark, schema, folder.rstrip("/")
+
+    @classmethod
+    def create(cls, vocab: DataFrame, folder: str) -> VocabVersions:
+        versions = cls(vocab.sparkSession, folder, vocab.schema)
+        vocab.write.mode("errorifexists").parquet(versions._path(-1))
+        return versions
 
     def _path(self, batch: int) -> str:
         return f"{self.folder}/version={batch}"
@@ -84,12 +87,13 @@ class VocabVersions:
     def at(self, batch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self._path(batch))
 
-    def upsert(self, tries: DataFrame, batch: int) -> None:
-        updated = review.update_vocab(self.at(batch - 1), tries)
-        updated.write.mode("overwrite").parquet(self._path(batch))
-        self.latest = batch
+    def latest(self) -> DataFrame:
+        """The newest version; read it while no batch is being written."""
+        newest = self.spark.read.parquet(self.folder).agg(F.max("version")).first()[0]
+        return self.at(newest)
 
-    latest = -1
+    def upsert(self, tries: DataFrame, batch: int) -> None:
+        review.update_vocab(self.at(batch - 1), tries).write.mode("overwrite").parquet(self._path(batch))
 
     def run(self, tries: DataFrame, checkpoint: str) -> StreamingQuery:
         return (

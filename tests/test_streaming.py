@@ -24,15 +24,16 @@ def test_micro_batches_update_the_vocabulary_once(spark, sf_dir, tmp_path):
     log = views.tries(spark, sf_dir).withColumn("n", F.col("id_historical_data") % 3)
     source = tmp_path / "in"
     words = review.start_session(views.vocab(spark, sf_dir))
-    versions = review_stream.VocabVersions(words, str(tmp_path / "vocab"))
+    folder = str(tmp_path / "vocab")
+    review_stream.VocabVersions.create(words, folder)
     schema = log.schema
     for n in range(3):
         log.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(str(source))
+        versions = review_stream.VocabVersions(spark, folder, words.schema)  # as after a restart
         stream = spark.readStream.schema(schema).parquet(str(source))
         versions.run(stream, str(tmp_path / "progress")).awaitTermination()
-    assert versions.latest == 2
     versions.upsert(log.filter("n = 2"), 2)  # the last batch again, as after a failure
-    assert rows(versions.at(2)) == rows(review.update_vocab(words, log).select(words.columns))
+    assert rows(versions.latest()) == rows(review.update_vocab(words, log).select(words.columns))
 
 
 def test_closed_sessions_of_the_stream_are_batch_sessions(spark, sf_dir):
