@@ -205,11 +205,16 @@ def r4(spark, sf):
     return review_stream.session_progress(tries(spark, sf), LEARNER).drop("end")
 
 
-@query("r3_r4_session_stream")
+@query(
+    "r3_r4_session_stream",
+    f"""WITH {PROGRESS_SQL} SELECT learner_id, start, tries, known_words FROM fx_progress
+    WHERE "end" <= (SELECT date_trunc('milliseconds', max(datetime)) - INTERVAL '1' HOUR FROM fx_tries)""",
+)
 def r3_stream(spark, sf):
-    # Only sessions that the watermark has closed come out; see tests for stream = batch.
+    # Sessions that the watermark has closed; those still open at the end of the log are held back.
     stream = review_stream.session_progress(review_stream.with_event_time(try_stream(spark, sf)), LEARNER)
-    return review_stream.run_to_table(stream, "sessions")
+    closed = review_stream.run_to_table(stream, "sessions")
+    return closed.withColumn("start", F.col("start").cast("timestamp_ntz")).drop("end")
 
 
 @query(

@@ -161,7 +161,8 @@ def marked_session_tries(
     """As :func:`session_tries`, with the hot-group marks for further operators."""
     keys = LEARNER if partition_by is None else partition_by
     marked, hot_rows = history.mark_hot_groups(tries(spark, sf), keys)
-    scored = history.running_scores(history.sessionize(marked, keys, hot_rows=hot_rows), keys, hot_rows)
+    placed = history.sessionize(marked, keys, position=True, hot_rows=hot_rows)
+    scored = history.running_scores(placed, keys, hot_rows)
     return scored, hot_rows
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver.registry import query
 from driver.views import TRIES_SQL, VOCAB_SQL, table, tries, vocab
-from recall_engine.functions import text
+from recall_engine.functions import catalog, text
 from recall_engine.operators import review, selection, vocabulary
 from recall_engine.schemas import ENGLISH_ARTICLES, GERMAN_ARTICLES
 
@@ -175,6 +175,25 @@ def f9_documents(spark, sf):
     )
 
 
+@query(
+    "sql_text_functions",
+    f"""WITH {FEATURES_SQL} SELECT id_vocab, CASE WHEN is_noun THEN split_part(german, ' ', 1) END AS article,
+      array_to_string(list_filter(string_split(german, ' '), lambda t: t NOT IN ({GERMAN})), ' ') AS german,
+      array_to_string(list_filter(string_split(english, ' '), lambda t: t NOT IN ({ENGLISH})), ' ') AS english,
+      nb_words_german, nb_words_english FROM fx_words""",
+)
+def sql_functions(spark, sf):
+    catalog.register(spark)
+    return vocab(spark, sf).select(
+        "id_vocab",
+        F.expr("german_article(german)").alias("article"),
+        F.expr("without_german_articles(german)").alias("german"),
+        F.expr("without_english_articles(english)").alias("english"),
+        F.expr("german_word_count(german)").alias("nb_words_german"),
+        F.expr("english_word_count(english)").alias("nb_words_english"),
+    )
+
+
 @query("f24_pair_label", f"WITH {VOCAB_SQL} SELECT id_vocab, german || ' - ' || english AS label FROM fx_vocab")
 def f24(spark, sf):
     return vocab(spark, sf).select("id_vocab", text.pair_label(F.col("german"), F.col("english")).alias("label"))

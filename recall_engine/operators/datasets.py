@@ -100,7 +100,7 @@ def next_session_by_union(
     Each direction is a scenario of its own with a copy of the history. Kept as the definition;
     :func:`next_session_features` gives the same rows from one aggregation.
     """
-    past = tries.withColumns(
+    past = tries.drop("nb_words_session").withColumns(
         {"scenario": F.explode(F.array(*[F.lit(x) for x in LANGUAGES])), "is_future": F.lit(False)}
     )
     coming = future.drop("nb_words_session").withColumns({"scenario": F.col("language_asked"), "is_future": F.lit(True)})

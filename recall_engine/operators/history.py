@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text, times
@@ -58,18 +58,75 @@ def sessionize(
 ) -> DataFrame:
     """Add ``id_session``: a session ends when the next try is more than ``gap`` later.
 
-    ``position`` also adds ``nb_words_session``, the 1-based place of the try in its session.
+    ``position`` also adds ``nb_words_session``, the 1-based place of the try in its session. Sessions are
+    runs of the learner's order, so both come from one sort; only oversized learners need a carry.
     """
     keys = list(partition_by)
     df, chunk = _mark(df, keys, LEARNER_CHUNK, hot_rows)
-    before = scan.ordered_scan(df, keys, ORDER, {"_time_before": scan.previous(F.col("datetime"))}, chunk)
-    opened = F.col("datetime") - F.col("_time_before") > F.expr(gap)
-    flagged = before.withColumn("_opens", F.coalesce(opened, F.lit(False)).cast("int")).drop("_time_before")
-    done = scan.ordered_scan(flagged, keys, ORDER, {"id_session": scan.sum_through(F.col("_opens"))}, chunk)
-    done = done.drop("_opens")
+    groups = [*keys, *([chunk] if chunk else [])]
+    ordered = Window.partitionBy(*groups).orderBy(ORDER)
+    through = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    time = F.col("datetime")
+    local = df.withColumns(
+        {"_opens": _apart(time, F.lag(time).over(ordered), gap), "_n": F.row_number().over(ordered).cast("long")}
+    ).withColumns(
+        {
+            "_sessions": F.sum("_opens").over(through),
+            "_start": F.max(F.when(F.col("_opens") == 1, F.col("_n"))).over(through),
+        }
+    )
+    if chunk:
+        local = local.join(_session_carry(local, keys, groups, chunk, gap), groups, "left")
+    else:
+        local = local.withColumns({"_sessions_before": F.lit(0), "_rows_before": F.lit(0)})
+    done = local.withColumn("id_session", F.col("_sessions") + F.coalesce("_sessions_before", F.lit(0)))
     if position:
-        done = session_position(done, partition_by, hot_rows if chunk else NEVER_HOT)
-    return done
+        place = F.when(F.col("_start").isNotNull(), F.col("_n") - F.col("_start") + 1).otherwise(
+            F.col("_n") + F.coalesce("_rows_before", F.lit(0))
+        )
+        done = done.withColumn("nb_words_session", place)
+    return done.drop("_opens", "_n", "_sessions", "_start", "_sessions_before", "_rows_before")
+
+
+def _apart(later: Column, earlier: Column, gap: str) -> Column:
+    """1 when two times are more than the gap apart, 0 when not or when there is no earlier one."""
+    return F.coalesce(later - earlier > F.expr(gap), F.lit(False)).cast("int")
+
+
+def _session_carry(local: DataFrame, keys: list[str], groups: list[str], chunk: str, gap: str) -> DataFrame:
+    """Per chunk: sessions opened before its rows, and rows the running session already has."""
+    parts = (
+        local.filter(F.col(chunk).isNotNull())
+        .groupBy(*groups)
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.min_by("datetime", ORDER).alias("_first"),
+            F.max_by("datetime", ORDER).alias("_last"),
+            F.max("_sessions").alias("_opened"),
+            F.max("_start").alias("_last_start"),
+        )
+    )
+    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(chunk)
+    through = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    counted = parts.withColumns(
+        {"_broken": _apart(F.col("_first"), F.lag("_last").over(ordered), gap), "_total": F.sum("_rows").over(through)}
+    )
+    # Rows before the start of the session that is open at the end of a chunk in which one started.
+    settled = F.when(
+        F.col("_last_start").isNotNull(), F.col("_total") - F.col("_rows") + F.col("_last_start") - 1
+    ).when(F.col("_broken") == 1, F.col("_total") - F.col("_rows"))
+    open_rows = counted.withColumn(
+        "_open", F.col("_total") - F.coalesce(F.last(settled, ignorenulls=True).over(through), F.lit(0))
+    )
+    unbroken = F.col("_broken") == 0
+    return open_rows.select(
+        *groups,
+        (F.coalesce(F.sum(F.col("_opened") + F.col("_broken")).over(earlier), F.lit(0)) + F.col("_broken")).alias(
+            "_sessions_before"
+        ),
+        F.when(unbroken, F.lag("_open").over(ordered)).alias("_rows_before"),
+    )
 
 
 def session_position(df: DataFrame, partition_by: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
@@ -240,12 +297,16 @@ def try_features(
 ) -> DataFrame:
     """All history features of the tries (``df`` has ``id_session``, ``day`` and the scores).
 
+    The place in the session is computed unless ``nb_words_session`` came with the session.
+
     When no learner is oversized, one shuffle on the learner serves every window below.
     """
     known = with_known_keys(df)
     if hot_rows != NEVER_HOT:
         known, hot_rows = mark_hot_groups(known, partition_by, hot_rows)
-    placed = session_position(known, partition_by, hot_rows)
+    placed = known
+    if "nb_words_session" not in known.columns:
+        placed = session_position(known, partition_by, hot_rows)
     rich = word_history(same_try_features(placed), partition_by, semantics, hot_rows)
     done = calendar(successes_and_fails(rich))
     return done.drop(*[c for c in done.columns if c.startswith("_")])

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from recall_engine.staging import stage
 
-HOT_GROUP_ROWS = 1_000_000
-CHUNK_ROWS = 1_000_000
+HOT_GROUP_ROWS = 500_000
+CHUNK_ROWS = 250_000
 MAX_INLINE_HOT_GROUPS = 10_000
 
 
