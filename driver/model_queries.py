@@ -133,6 +133,18 @@ def f27(spark, sf):
     return models.explained_variance(components, components.columns)
 
 
+@query(
+    "f27_variance_shares",
+    f"""WITH {TRIES_SQL}, v AS (SELECT var_pop(question_time) AS a, var_pop(result) AS b, var_pop(length(guess)) AS c FROM fx_tries)
+    SELECT unnest(['question_time', 'result', 'letters']) AS component,
+      unnest([round(a / (a + b + c), 6), round(b / (a + b + c), 6), round(c / (a + b + c), 6)]) AS ratio FROM v""",
+)
+def f27_shares(spark, sf):
+    names = ["question_time", "result", "letters"]
+    rows = tries(spark, sf).withColumn("letters", F.char_length("guess").cast("double")).select(*names)
+    return models.explained_variance(rows, names)
+
+
 @query("p8_eliminate_features")
 def p8(spark, sf):
     from pyspark.ml.feature import VectorAssembler

@@ -129,7 +129,7 @@ def smote(
     The inputs must be numbers without nulls. Columns besides ``inputs`` and ``target`` are dropped.
     """
     data = stage(dataset.select(*inputs, target), "smote")
-    counts = {r[0]: r[1] for r in data.groupBy(target).agg(F.count(F.lit(1))).collect()}
+    counts = {r[0]: r[1] for r in data.groupBy(target).agg(F.count(F.lit(1))).limit(3).collect()}
     if len(counts) != 2:
         raise ValueError("two classes are needed")
     rare, often = sorted(counts, key=counts.get)
