@@ -65,9 +65,8 @@ def future_tries(
             placed[0], list(partition_by), order, {"_place": history.scan.rows_before()}, placed[1]
         ).join(last, list(partition_by))
     else:
-        numbered = dense_id(vocab, [order], "_place").withColumns(
-            {c: last.select(c).scalar() for c in ("max_id_session", "max_id_historical_data")}
-        )
+        row = last.select(F.struct("*")).scalar()
+        numbered = dense_id(vocab, [order], "_place").withColumns({c: row[c] for c in last.columns})
     asked = numbered.withColumn("language_asked", F.explode(F.array(*[F.lit(x) for x in languages])))
     german = F.col("language_asked") == "german"
     to_german, to_english = F.col("score_english_german"), F.col("score_german_english")
@@ -196,7 +195,8 @@ def _attach(dataset: DataFrame, small: DataFrame, partition_by: Sequence[str], c
     """Add per-learner values, or the values of a one-row table when there is one learner."""
     if partition_by:
         return dataset.join(small, list(partition_by))
-    return dataset.withColumns({c: small.select(c).scalar() for c in columns})
+    row = small.select(F.struct(*columns)).scalar()
+    return dataset.withColumns({c: row[c] for c in columns})
 
 
 def split_by_session(

@@ -45,13 +45,18 @@ def dense_id(df: DataFrame, order: list[str | Column], name: str, start: int | C
 
 
 def prefix_sums(
-    df: DataFrame, order: list[str | Column], sums: dict[str, str], keys: list[str] | None = None
+    df: DataFrame,
+    order: list[str | Column],
+    sums: dict[str, str],
+    keys: list[str] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``{new column: summed column}`` in the given order, within ``keys``.
 
-    A group may span many ranges, so a hot key is shared by many tasks.
+    ``totals`` adds the sum over the whole group for some of the running columns. A group may span many
+    ranges, so a hot key is shared by many tasks; carries and totals come from one row per range and key.
     """
-    keys = keys or []
+    keys, totals = keys or [], totals or {}
     ranged = _sorted_ranges(df, [*keys, *order])
     inside = (
         Window.partitionBy("_range", *keys)
@@ -59,12 +64,14 @@ def prefix_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        "_range", *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]
+    parts = ranged.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(
+        "_range",
+        *keys,
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(whole).alias(name) for name, n in totals.items()],
     )
     on = ["_range", *keys]
     joined = local.join(carry if keys else F.broadcast(carry), on)
@@ -85,11 +92,7 @@ def exact_quantiles(
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    running = prefix_sums(counts, [value], {"_through": "_n"}, groups)
-    if groups:
-        sized = running.join(running.groupBy(*groups).agg(F.max("_through").alias("_total")), groups)
-    else:
-        sized = running.withColumn("_total", running.agg(F.max("_through")).scalar())
+    sized = prefix_sums(counts, [value], {"_through": "_n"}, groups, {"_total": "_through"})
     parts: list[Column] = []
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)

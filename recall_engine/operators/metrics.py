@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.operators.global_order import dense_id, prefix_sums
+from recall_engine.staging import stage
 
 TINY = 1e-15  # fixed value: probabilities are clipped this far from 0 and 1 in the log loss
 
@@ -50,14 +51,14 @@ def _over(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
-def confusion_counts(scored: DataFrame, *groups: str) -> DataFrame:
-    """Counts of the confusion matrix in one aggregation."""
+def _counts() -> list[Column]:
+    """Aggregates of the confusion matrix."""
     true, pred = F.col("y_true"), F.col("y_pred")
 
     def cell(t: int, p: int) -> Column:
         return F.count_if((true == t) & (pred == p))
 
-    return scored.groupBy(*groups).agg(
+    return [
         F.count_if(true.isin(0, 1) & pred.isin(0, 1)).alias("total_population"),
         F.count_if(true == 1).alias("total_positive"),
         F.count_if(true == 0).alias("total_negative"),
@@ -65,7 +66,16 @@ def confusion_counts(scored: DataFrame, *groups: str) -> DataFrame:
         cell(1, 0).alias("false_negative"),
         cell(0, 1).alias("false_positive"),
         cell(0, 0).alias("true_negative"),
-    ).withColumn("random_precision", _over(F.col("total_positive"), F.col("total_population")))
+    ]
+
+
+def confusion_counts(scored: DataFrame, *groups: str) -> DataFrame:
+    """Counts of the confusion matrix in one aggregation, and the precision of random guesses."""
+    return _with_random_precision(scored.groupBy(*groups).agg(*_counts()))
+
+
+def _with_random_precision(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("random_precision", _over(F.col("total_positive"), F.col("total_population")))
 
 
 def binary_ratios(counts: DataFrame) -> DataFrame:
@@ -102,12 +112,12 @@ def binary_ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def regression_metrics(scored: DataFrame, *groups: str) -> DataFrame:
-    """Errors of the probability against the 0/1 truth, in one aggregation."""
+def _moments() -> list[Column]:
+    """Aggregates of the error of the probability."""
     y, p = F.col("y_true").cast("double"), F.col("y_proba").cast("double")
     error = y - p
     safe = F.greatest(F.least(p, F.lit(1 - TINY)), F.lit(TINY))
-    moments = scored.groupBy(*groups).agg(
+    return [
         F.var_pop(error).alias("_var_error"),
         F.var_pop(y).alias("_var_y"),
         F.max(F.abs(error)).alias("max_error"),
@@ -115,7 +125,15 @@ def regression_metrics(scored: DataFrame, *groups: str) -> DataFrame:
         F.avg(error * error).alias("brier_score"),
         F.avg(-F.when(y == 1, F.log(safe)).otherwise(F.log(1 - safe))).alias("normalised_log_loss"),
         F.avg(y).alias("_share"),
-    )
+    ]
+
+
+def regression_metrics(scored: DataFrame, *groups: str) -> DataFrame:
+    """Errors of the probability against the 0/1 truth, in one aggregation."""
+    return scored.groupBy(*groups).agg(*_moments()).select(*groups, *_errors())
+
+
+def _errors() -> list[Column]:
     share = F.col("_share")
     entropy = -(share * F.log(share) + (1 - share) * F.log(1 - share))
 
@@ -124,17 +142,16 @@ def regression_metrics(scored: DataFrame, *groups: str) -> DataFrame:
             1 - _over(unexplained, F.col("_var_y"))
         )
 
-    return moments.select(
-        *groups,
+    return [
         explained(F.col("_var_error")).alias("explained_variance_score"),
-        "max_error",
-        "mean_absolute_error",
+        F.col("max_error"),
+        F.col("mean_absolute_error"),
         F.sqrt("brier_score").alias("root_mean_squared_error"),
         explained(F.col("brier_score")).alias("r2_score"),
-        "normalised_log_loss",
+        F.col("normalised_log_loss"),
         _over(F.col("normalised_log_loss"), entropy).alias("normalised_cross_entropy"),
-        "brier_score",
-    )
+        F.col("brier_score"),
+    ]
 
 
 def as_long(wide: DataFrame, *groups: str) -> DataFrame:
@@ -145,9 +162,13 @@ def as_long(wide: DataFrame, *groups: str) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, *groups: str) -> DataFrame:
-    """All metrics of the scored rows in long form."""
-    binary = as_long(binary_ratios(confusion_counts(scored, *groups)), *groups)
-    return binary.unionByName(as_long(regression_metrics(scored, *groups), *groups))
+    """All metrics of the scored rows in long form, from one pass over them."""
+    both = scored.groupBy(*groups).agg(*_counts(), *_moments())
+    wide = binary_ratios(_with_random_precision(both))
+    errors = _errors()
+    moments = ("_var_error", "_var_y", "_share", "max_error", "mean_absolute_error", "brier_score", "normalised_log_loss")
+    kept = [c for c in wide.columns if c not in groups and c not in moments]
+    return as_long(wide.select(*groups, *kept, *errors), *groups)
 
 
 # --- comparing models -------------------------------------------------------------------------------
@@ -182,11 +203,23 @@ def best_and_worst(by_metric: DataFrame, models: list[str]) -> DataFrame:
 
 
 def _cumulated(scored: DataFrame) -> DataFrame:
-    """Per distinct probability, from high to low: positives and negatives there and so far."""
+    """Per distinct probability, from high to low: positives and negatives there, so far, and in all."""
     counts = scored.groupBy("y_proba").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg")
     )
-    return prefix_sums(counts.withColumn("one", F.lit(1)), [F.col("y_proba").desc()], {"tps": "pos", "fps": "neg", "rank": "one"})
+    return prefix_sums(
+        counts.withColumn("one", F.lit(1)),
+        [F.col("y_proba").desc()],
+        {"tps": "pos", "fps": "neg", "rank": "one"},
+        totals={"all_pos": "tps", "all_neg": "fps", "last": "rank"},
+    )
+
+
+def _points(rows: DataFrame, point: Column, extra: Column, keep: Column | None = None) -> DataFrame:
+    """One point per row that is kept, and one extra point at the highest probability."""
+    mine = point if keep is None else F.when(keep, point)
+    both = F.when(F.col("rank") == 1, F.array(extra, mine)).otherwise(F.array(mine))
+    return rows.select(F.explode(both).alias("_point")).filter(F.col("_point").isNotNull()).select("_point.*")
 
 
 def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
@@ -194,19 +227,25 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
 
     ``drop_intermediate`` leaves out points on a straight line between their neighbours.
     """
-    points = _cumulated(scored)
-    totals = points.agg(F.max("tps").alias("p"), F.max("fps").alias("n"), F.max("rank").alias("last"), F.max("y_proba").alias("top"))
-    size = {c: totals.select(c).scalar() for c in totals.columns}
+    rows = _cumulated(scored)
+    bends = None
     if drop_intermediate:
         # The curve bends at a point when the step after it differs from the step up to it.
-        after = points.select((F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
-        bends = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-        points = points.join(after, "rank", "left").filter((F.col("rank") == size["last"]) | bends)
-    curve = points.select(
-        _over(F.col("fps"), size["n"]).alias("fpr"), _over(F.col("tps"), size["p"]).alias("tpr"), F.col("y_proba").alias("threshold")
+        rows = stage(rows, "curve")
+        after = rows.select(
+            (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg")
+        )
+        rows = rows.join(after, "rank", "left")
+        bends = (
+            (F.col("rank") == F.col("last")) | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+        )
+    point = F.struct(
+        _over(F.col("fps"), F.col("all_neg")).alias("fpr"),
+        _over(F.col("tps"), F.col("all_pos")).alias("tpr"),
+        F.col("y_proba").alias("threshold"),
     )
-    start = totals.select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), (F.col("top") + 1).alias("threshold"))
-    return curve.unionByName(start)
+    start = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), (F.col("y_proba") + 1).alias("threshold"))
+    return _points(rows, point, start, bends)
 
 
 def precision_recall_curve(scored: DataFrame) -> DataFrame:
@@ -214,19 +253,17 @@ def precision_recall_curve(scored: DataFrame) -> DataFrame:
 
     The closing point (1, 0) has no threshold.
     """
-    points = _cumulated(scored)
-    totals = points.agg(F.max("tps").alias("p"), F.max("fps").alias("n"))
-    p = totals.select("p").scalar()
-    share = totals.select(_over(F.col("p"), F.col("p") + F.col("n"))).scalar()
-    curve = points.filter(F.col("tps") - F.col("pos") < p).select(
+    share = _over(F.col("all_pos"), F.col("all_pos") + F.col("all_neg")).alias("random_precision")
+    point = F.struct(
         _over(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"),
-        _over(F.col("tps"), p).alias("recall"),
+        _over(F.col("tps"), F.col("all_pos")).alias("recall"),
         F.col("y_proba").alias("threshold"),
+        share,
     )
-    end = totals.select(
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold")
+    end = F.struct(
+        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold"), share
     )
-    return curve.unionByName(end).withColumn("random_precision", share)
+    return _points(_cumulated(scored), point, end, F.col("tps") - F.col("pos") < F.col("all_pos"))
 
 
 def calibration_strip(scored: DataFrame, tie_break: str) -> DataFrame:
