@@ -146,7 +146,7 @@ def test_no_chunk_has_more_rows_than_its_width(skewed):
     assert biggest <= 16
 
 
-def test_many_hot_groups_take_the_durable_way(skewed, monkeypatch):
+def test_many_hot_groups_take_the_staged_way(skewed, monkeypatch):
     monkeypatch.setattr(scan, "MAX_INLINE_HOT_GROUPS", 2)
     marked, chunk = scan.split_hot_groups(skewed, ["learner_id"], ID, "_chunk", 10, 16)
     got = scan.ordered_scan(marked, ["learner_id"], ID, {"n": scan.rows_before()}, chunk)
