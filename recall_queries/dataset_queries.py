@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver import history_queries, vocab_queries
-from driver.registry import query
-from driver.views import (
+from recall_queries import history_queries, vocab_queries
+from recall_queries.registry import query
+from recall_queries.views import (
     LEARNER,
     SESSION_TRIES_SQL,
     SINGLE_SESSION_TRIES_SQL,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.registry import query
-from driver.views import (
+from recall_queries.registry import query
+from recall_queries.views import (
     LEARNER,
     SESSION_TRIES_SQL,
     TRIES_SQL,

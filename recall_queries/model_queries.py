@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver import dataset_queries, vocab_queries
-from driver.registry import query
-from driver.views import LEARNER, TRIES_SQL, marked_session_tries, tries, vocab
+from recall_queries import dataset_queries, vocab_queries
+from recall_queries.registry import query
+from recall_queries.views import LEARNER, TRIES_SQL, marked_session_tries, tries, vocab
 from recall_engine.operators import datasets, history, oversampling, prep, reports
 from recall_engine.plans import models, next_session, search
 from recall_engine.staging import new_path, stage

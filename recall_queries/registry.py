@@ -51,7 +51,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     for module in MODULES:
-        import_module(f"driver.{module}")
+        import_module(f"recall_queries.{module}")
 
 
 def queries() -> dict[str, Query]:

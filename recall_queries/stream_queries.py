@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver import vocab_queries
-from driver.registry import query
-from driver.views import LEARNER, SINGLE_SESSION_TRIES_SQL, TRIES_SQL, VOCAB_SQL, table, tries, vocab
+from recall_queries import vocab_queries
+from recall_queries.registry import query
+from recall_queries.views import LEARNER, SINGLE_SESSION_TRIES_SQL, TRIES_SQL, VOCAB_SQL, table, tries, vocab
 from recall_engine.operators import reports, review
 from recall_engine.sources import files
 from recall_engine.staging import new_path, stage

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.registry import query
-from driver.views import TRIES_SQL, VOCAB_SQL, table, tries, vocab
+from recall_queries.registry import query
+from recall_queries.views import TRIES_SQL, VOCAB_SQL, table, tries, vocab
 from recall_engine.functions import catalog, text
 from recall_engine.operators import review, selection, vocabulary
 from recall_engine.schemas import ENGLISH_ARTICLES, GERMAN_ARTICLES

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from driver import views
+from recall_queries import views
 from recall_engine.operators import datasets, prep
 from recall_engine.schemas import FEATURES
 

@@ -155,7 +155,7 @@ def test_many_hot_groups_take_the_staged_way(skewed, monkeypatch):
 
 
 def test_all_features_agree_when_learners_are_oversized(spark, sf_dir):
-    from driver import views
+    from recall_queries import views
 
     keys = ["learner_id"]
     log = views.session_tries(spark, sf_dir)
@@ -167,7 +167,7 @@ def test_all_features_agree_when_learners_are_oversized(spark, sf_dir):
 
 def test_one_shuffle_serves_all_windows(spark, sf_dir):
     """With no oversized learner the plan has one exchange on the learner and no cartesian product."""
-    from driver import views
+    from recall_queries import views
 
     scored, hot_rows = views.marked_session_tries(spark, sf_dir)
     plan = history.try_features(scored, ["learner_id"], hot_rows=hot_rows)._jdf.queryExecution().executedPlan().toString()

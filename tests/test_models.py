@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from driver import dataset_queries, views
+from recall_queries import dataset_queries, views
 from recall_engine.operators import datasets, oversampling, prep
 from recall_engine.operators.global_order import dense_id
 from recall_engine.plans import models, search

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from driver import check
+from recall_queries import check
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from driver import stream_queries, views, vocab_queries
+from recall_queries import stream_queries, views, vocab_queries
 from recall_engine.operators import review
 from recall_engine.streaming import review_stream
 
