@@ -39,12 +39,12 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         for path in self._paths:
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def stage(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         path = new_path(self.spark, label)
         if keep:
-            atexit.register(_delete, self.spark, path)
+            atexit.register(delete, self.spark, path)
         else:
             self._paths.append(path)
         before = self.spark.conf.get(_CLEAN_UP, "false")
@@ -56,7 +56,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return

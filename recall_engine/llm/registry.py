@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "url_vocabulary",
+    "line_runs",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
