@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "url_vocabulary",
     "line_runs",
+    "simhash",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
