@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.staging import new_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,7 +102,3 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start, stop - start)
             start = stop
 
-
-def grouped_lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
-    """A list per row: ``values[starts[i]:starts[i + 1]]``."""
-    return pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), values).cast(pa.list_(values.type))

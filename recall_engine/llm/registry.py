@@ -12,6 +12,7 @@ MODULES = (
     "url_vocabulary",
     "line_runs",
     "simhash",
+    "winnowing",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
