@@ -13,6 +13,7 @@ MODULES = (
     "line_runs",
     "simhash",
     "winnowing",
+    "target_ratio",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
