@@ -39,7 +39,7 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
 
     def of(words: Column) -> Column:
         n = F.size(words)
-        joined = lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")
+        joined = lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(size)])
         return (
             F.when(n == 0, F.array().cast("array<bigint>"))
             .when(n < size, F.array(F.xxhash64(F.array_join(words, " "))))
