@@ -14,6 +14,8 @@ MODULES = (
     "simhash",
     "winnowing",
     "target_ratio",
+    "piece_agenda",
+    "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
