@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,10 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start, stop - start)
             start = stop
 
+
+@lru_cache(maxsize=4)
+def powers(base: int, bits: int) -> np.ndarray:
+    """The first 2**bits powers of ``base`` modulo 2**64."""
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)

@@ -15,6 +15,7 @@ MODULES = (
     "winnowing",
     "target_ratio",
     "piece_agenda",
+    "prefix_free",
     "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}

@@ -15,14 +15,13 @@ places hit in any; repeated items count once. An empty table of documents gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.llm.common import Scratch, ascii_lower, bytes_of, sliced, table, texts_of
+from recall_engine.llm.common import Scratch, ascii_lower, bytes_of, powers, sliced, table, texts_of
 from recall_engine.llm.registry import query
 
 WINDOW, GRAM = 10, 5
@@ -36,14 +35,6 @@ _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 _VALUE = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, bits: int) -> np.ndarray:
-    """The first 2**bits powers of ``base`` modulo 2**64."""
-    out = np.full(1 << bits, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes; start and end of every word in them; the first word of each text (and the end)."""
     data, offsets = bytes_of(texts)
@@ -64,8 +55,8 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """Polynomial hash of each word modulo 2**64, from one running sum over all bytes."""
     sums = np.zeros(len(low) + 1, np.uint64)
     bits = max(12, len(low).bit_length())
-    np.cumsum(_VALUE[low] * _powers(_BASE, bits)[: len(low)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _powers(_INVERSE, bits)[starts]
+    np.cumsum(_VALUE[low] * powers(_BASE, bits)[: len(low)], out=sums[1:])
+    raw = (sums[ends] - sums[starts]) * powers(_INVERSE, bits)[starts]
     raw ^= raw >> np.uint64(29)
     return raw * np.uint64(0xBF58476D1CE4E5B9)
 
