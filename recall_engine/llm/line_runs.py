@@ -48,7 +48,8 @@ class LineStore:
 
     def merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         """One row per key, the newest. Reads the files: a union of bucketed scans can be taken for partitioned by key."""
-        return newest(self.spark.read.parquet(*[path for _, path in runs]))
+        schema = self.spark.table(runs[0][0]).schema
+        return newest(self.spark.read.schema(schema).parquet(*[path for _, path in runs]))
 
     def known(self) -> DataFrame:
         """The newest state of every key in the store, which holds one run at least."""
