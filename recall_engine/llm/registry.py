@@ -16,6 +16,8 @@ MODULES = (
     "target_ratio",
     "piece_agenda",
     "prefix_free",
+    "merkle_audit",
+    "separator_scan",
     "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}
