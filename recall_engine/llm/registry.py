@@ -17,6 +17,7 @@ MODULES = (
     "piece_agenda",
     "prefix_free",
     "merkle_audit",
+    "range_coder",
     "separator_scan",
     "pipeline_query",
 )
