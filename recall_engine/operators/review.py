@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +79,19 @@ def resolve_guesses(checked: DataFrame, vocab: DataFrame, all_vocab: DataFrame,
     )
 
 
-def score_changes(checked: DataFrame) -> DataFrame:
-    """Per word: net score change and whether it was tried, for each direction."""
+def score_changes(checked: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Per word (of each learner): net score change and whether it was tried, for each direction."""
     point = F.when(F.col("is_it_correct"), 1).otherwise(-1)
     german, english = F.col("language_asked") == "german", F.col("language_asked") == "english"
-    return checked.groupBy("id_vocab").agg(
+    return checked.groupBy(*partition_by, "id_vocab").agg(
         F.sum(F.when(english, point)).alias("_change_german_english"),
         F.sum(F.when(german, point)).alias("_change_english_german"),
     )
 
 
-def apply_changes(vocab: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(vocab: DataFrame, changes: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add score changes to the vocabulary and mark the tried directions."""
-    joined = vocab.join(changes, "id_vocab", "left")
+    joined = vocab.join(changes, [*partition_by, "id_vocab"], "left")
     update = {}
     for pair in ("german_english", "english_german"):
         change = F.col(f"_change_{pair}")
@@ -105,26 +107,32 @@ def start_session(vocab: DataFrame) -> DataFrame:
     )
 
 
-def update_vocab(vocab: DataFrame, tries: DataFrame) -> DataFrame:
-    """Replay tries on the vocabulary: +1 or -1 for the asked direction, and its flag set."""
-    return apply_changes(vocab, score_changes(check_answer(tries)))
+def update_vocab(vocab: DataFrame, tries: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Replay tries on the vocabulary: +1 or -1 for the asked direction, and its flag set.
+
+    With ``partition_by`` both tables have the learner columns, and a try counts for its learner alone.
+    """
+    return apply_changes(vocab, score_changes(check_answer(tries), partition_by), partition_by)
 
 
 def not_yet_tried(vocab: DataFrame) -> DataFrame:
     return vocab.filter(~(F.col("try_session_german_english") | F.col("try_session_english_german")))
 
 
-def with_probabilities(vocab: DataFrame, predictions: DataFrame) -> DataFrame:
+def with_probabilities(vocab: DataFrame, predictions: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Words that have predictions, with them."""
-    return vocab.join(predictions, "id_vocab")
+    return vocab.join(predictions, [*partition_by, "id_vocab"])
 
 
-def knowledge_report(vocab: DataFrame, threshold: float = 0.5, few: int = 100) -> DataFrame:
-    """Words known, words left (some direction below the threshold), and whether few are left."""
+def knowledge_report(
+    vocab: DataFrame, threshold: float = 0.5, few: int = 100, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """Words known, words left (some direction below the threshold), and whether few are left; per learner if named."""
     left = (F.col("english_proba") < threshold) | (F.col("german_proba") < threshold)
-    return vocab.agg(
+    return vocab.groupBy(*partition_by).agg(
         F.count(F.lit(1)).alias("words"), F.count_if(F.coalesce(left, F.lit(False))).alias("words_left")
     ).select(
+        *partition_by,
         "words",
         "words_left",
         (F.col("words") - F.col("words_left")).alias("words_known"),

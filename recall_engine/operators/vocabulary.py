@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,6 @@ LIST_POINTS = {
     "a1_1": 5,
     "a1_2": 4,
 }
-MAX_NEW_WORDS = 100_000
 
 
 def word_columns(vocab: DataFrame) -> DataFrame:
@@ -91,28 +91,31 @@ def new_words(word_list: DataFrame, vocab: DataFrame) -> DataFrame:
     return word_list.join(english, "English", "left_anti").join(german, "German", "left_anti")
 
 
-def sample_words(words: DataFrame, seed: int, most: int = MAX_NEW_WORDS) -> DataFrame:
-    """At most ``most`` random rows, repeatable: smallest hash of the row first.
+def sample_words(words: DataFrame, seed: int, most: int | None = None) -> DataFrame:
+    """``most`` random rows (None: all), repeatable: smallest hash of the row first.
 
     Adds the draw ``_draw`` and the number ``_place`` of the row. Numbering the sorted rows keeps a large
     sample out of the single task that ends a plain limit. Equal rows have equal draws and neighbour numbers.
     """
     drawn = words.withColumn("_draw", uniform(seed, F.col("German"), F.col("English")))
-    return dense_id(drawn, ["_draw", "German", "English"], "_place").filter(F.col("_place") < most)
+    placed = dense_id(drawn, ["_draw", "German", "English"], "_place")
+    return placed if most is None else placed.filter(F.col("_place") < most)
 
 
 def add_words(vocab: DataFrame, lists: Sequence[DataFrame], seed: int = 42) -> DataFrame:
-    """Append the new words of each list, lists in priority order, with ids after the largest one.
+    """Append all new words of each list, lists in priority order, with ids after the largest one.
 
-    A later list sees the words of the earlier ones as known. Each step is written, so the plan does
-    not grow with the number of lists; word lists are the only thing looped over.
+    A later list sees the words of the earlier ones as known. Only the added rows are written, list by list, so the
+    plan does not grow and the vocabulary is never copied; word lists are the only thing looped over.
     """
-    current = vocab
+    spark = vocab.sparkSession
+    known = vocab.select("german", "english")
+    last = vocab.agg(F.coalesce(F.max("id_vocab"), F.lit(0))).first()[0]
+    parts: list[DataFrame] = []
     for word_list in lists:
-        numbered = sample_words(new_words(word_list.select("German", "English"), current), seed)
-        last = current.agg(F.coalesce(F.max("id_vocab"), F.lit(0))).scalar()
+        numbered = sample_words(new_words(word_list.select("German", "English"), known), seed)
         added = numbered.select(
-            (last + 1 + F.col("_place")).cast("long").alias("id_vocab"),
+            (F.lit(last + 1) + F.col("_place")).cast("long").alias("id_vocab"),
             F.col("German").alias("german"),
             F.col("English").alias("english"),
             F.lit(0).cast("long").alias("score_german_english"),
@@ -120,8 +123,12 @@ def add_words(vocab: DataFrame, lists: Sequence[DataFrame], seed: int = 42) -> D
             F.lit(False).alias("try_session_german_english"),
             F.lit(False).alias("try_session_english_german"),
         )
-        current = stage(current.unionByName(added), "vocab")
-    return current
+        part = stage(added, "new-words")
+        parts.append(part)
+        known = known.unionByName(part.select("german", "english"))
+        last = part.agg(F.coalesce(F.max("id_vocab"), F.lit(last))).first()[0]
+    added = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], vocab.schema)) if parts else None
+    return vocab if added is None else vocab.unionByName(added)
 
 
 def clean_list(raw: DataFrame) -> DataFrame:

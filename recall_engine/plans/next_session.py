@@ -91,6 +91,7 @@ def prepare(
     return Prepared(model, model.evaluate(valid), score_next_session(model, coming, partition_by), dataset)
 
 
-def post_review_report(vocab: DataFrame, predictions: DataFrame) -> DataFrame:
+def post_review_report(vocab: DataFrame, predictions: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Words known and left once the new probabilities are in."""
-    return review.knowledge_report(review.with_probabilities(vocab, predictions))
+    joined = review.with_probabilities(vocab, predictions, partition_by)
+    return review.knowledge_report(joined, partition_by=partition_by)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recall_queries.registry import query
-from recall_queries.views import TRIES_SQL, VOCAB_SQL, table, tries, vocab
+from recall_queries.views import LEARNER, TRIES_SQL, VOCAB_SQL, table, tries, vocab
 from recall_engine.functions import catalog, text
 from recall_engine.operators import review, selection, vocabulary
+from recall_engine.plans import next_session
 from recall_engine.schemas import ENGLISH_ARTICLES, GERMAN_ARTICLES
 
 GERMAN = "'der', 'die', 'das'"
@@ -40,21 +41,58 @@ LISTS_SQL = (
 
 
 def predictions(spark, sf):
-    """A probability per word and direction; words of the top score have none."""
+    """A probability per word and direction."""
     key = F.col("id_vocab")
-    known = vocab(spark, sf).select(
+    return vocab(spark, sf).select(
         key,
         (key * 7919 % 1000 / 1000.0).alias("english_proba"),
         (key * 104729 % 1000 / 1000.0).alias("german_proba"),
-        F.col("score_german_english"),
     )
-    return known.filter("score_german_english <> 3").drop("score_german_english")
 
 
 PREDICTIONS_SQL = """fx_predictions AS (
   SELECT id_vocab, (id_vocab * 7919 % 1000) / 1000.0E0 AS english_proba,
          (id_vocab * 104729 % 1000) / 1000.0E0 AS german_proba
-  FROM fx_vocab WHERE score_german_english <> 3)"""
+  FROM fx_vocab)"""
+
+
+def deck(spark, sf):
+    """The words that each learner was ever asked."""
+    return tries(spark, sf).select("learner_id", "id_vocab").distinct()
+
+
+def learner_words(spark, sf):
+    """The vocabulary of every learner: the words of their deck with scores, flags and probabilities of their own."""
+    key, learner = F.col("id_vocab"), F.col("learner_id")
+    return deck(spark, sf).select(
+        "learner_id",
+        "id_vocab",
+        ((key + learner) % 7 - 3).cast("long").alias("score_german_english"),
+        ((key + 2 * learner) % 5 - 2).cast("long").alias("score_english_german"),
+        ((key + learner) % 3 == 0).alias("try_session_german_english"),
+        ((key + learner) % 5 == 0).alias("try_session_english_german"),
+    )
+
+
+def learner_predictions(spark, sf):
+    """Probabilities for the words of every learner; they know nothing of every sixth of their words."""
+    key, learner = F.col("id_vocab"), F.col("learner_id")
+    return deck(spark, sf).filter((key + learner) % 6 != 0).select(
+        "learner_id",
+        "id_vocab",
+        ((key * 7919 + learner * 31) % 1000 / 1000.0).alias("english_proba"),
+        ((key * 104729 + learner * 17) % 1000 / 1000.0).alias("german_proba"),
+    )
+
+
+LEARNER_SQL = f"""{TRIES_SQL}, fx_deck AS (SELECT DISTINCT learner_id, id_vocab FROM fx_tries), fx_words AS (
+  SELECT learner_id, id_vocab, CAST((id_vocab + learner_id) % 7 - 3 AS BIGINT) AS score_german_english,
+         CAST((id_vocab + 2 * learner_id) % 5 - 2 AS BIGINT) AS score_english_german,
+         (id_vocab + learner_id) % 3 = 0 AS try_session_german_english, (id_vocab + learner_id) % 5 = 0 AS try_session_english_german
+  FROM fx_deck), fx_learner_predictions AS (
+  SELECT learner_id, id_vocab, ((id_vocab * 7919 + learner_id * 31) % 1000) / 1000.0E0 AS english_proba,
+         ((id_vocab * 104729 + learner_id * 17) % 1000) / 1000.0E0 AS german_proba
+  FROM fx_deck WHERE (id_vocab + learner_id) % 6 <> 0)"""
 UNIFORM_SQL = "CAST(('0x' || substr(md5('{seed}:' || {id}::varchar), 1, 8)) AS BIGINT) / 4294967296.0E0"
 
 
@@ -376,11 +414,25 @@ def r2(spark, sf):
 def k4(spark, sf):
     words = predictions(spark, sf)
     factors = (1, 2, 3, 4, 5, 10)
-    for b in factors:
-        words = selection.softmax_weights(words, "english_proba", f"softmax_{b}", b)
+    words = selection.softmax_weights(words, "english_proba", {f"softmax_{b}": b for b in factors})
     return words.select("id_vocab", *[(F.col(f"softmax_{b}") * 1000).alias(f"softmax_{b}") for b in factors])
 
 
+@query(
+    "r2_update_vocab_per_learner",
+    f"""WITH {LEARNER_SQL}, c AS (SELECT learner_id, id_vocab,
+        sum(CASE WHEN language_asked = 'english' THEN 2 * result - 1 END) AS ge, sum(CASE WHEN language_asked = 'german' THEN 2 * result - 1 END) AS eg
+      FROM fx_tries GROUP BY 1, 2)
+    SELECT learner_id, id_vocab, CAST(score_german_english + coalesce(ge, 0) AS BIGINT) AS score_german_english,
+      CAST(score_english_german + coalesce(eg, 0) AS BIGINT) AS score_english_german,
+      try_session_german_english OR ge IS NOT NULL AS try_session_german_english,
+      try_session_english_german OR eg IS NOT NULL AS try_session_english_german
+    FROM fx_words LEFT JOIN c USING (learner_id, id_vocab)""",
+)
+def r2_per_learner(spark, sf):
+    return review.update_vocab(learner_words(spark, sf), tries(spark, sf), LEARNER)
+
+
 @query(
     "k5_choose_words",
     f"""WITH {VOCAB_SQL}, {PREDICTIONS_SQL}, d AS (
@@ -420,6 +472,56 @@ def k7(spark, sf):
     return selection.plan_session(words, 7).select("slot", "id_vocab", "language_asked")
 
 
+PER_LEARNER_SQL = f"""WITH {LEARNER_SQL}, j AS (SELECT * FROM fx_words JOIN fx_learner_predictions USING (learner_id, id_vocab))"""
+
+
+def learner_joined(spark, sf):
+    return review.with_probabilities(learner_words(spark, sf), learner_predictions(spark, sf), LEARNER)
+
+
+@query("j1_vocab_with_probabilities_per_learner", f"{PER_LEARNER_SQL} SELECT learner_id, id_vocab, english_proba, german_proba FROM j")
+def j1_per_learner(spark, sf):
+    return learner_joined(spark, sf).select("learner_id", "id_vocab", "english_proba", "german_proba")
+
+
+@query("t6_words_left_per_learner", f"{PER_LEARNER_SQL} {REPORT_SQL.replace('SELECT', 'SELECT learner_id,', 1)} FROM fx_learner_predictions GROUP BY learner_id")
+def t6_per_learner(spark, sf):
+    return review.knowledge_report(learner_predictions(spark, sf), partition_by=LEARNER)
+
+
+@query("d7_post_review_report_per_learner", f"{PER_LEARNER_SQL} {REPORT_SQL.replace('SELECT', 'SELECT learner_id,', 1)} FROM j GROUP BY learner_id")
+def d7_per_learner(spark, sf):
+    return next_session.post_review_report(learner_words(spark, sf), learner_predictions(spark, sf), LEARNER)
+
+
+@query(
+    "k4_softmax_weights_per_learner",
+    f"""{PER_LEARNER_SQL} SELECT learner_id, id_vocab,
+      round(exp(3 * (1 - english_proba)) / sum(exp(3 * (1 - english_proba))) OVER (PARTITION BY learner_id), 6) AS softmax FROM j""",
+)
+def k4_per_learner(spark, sf):
+    words = selection.softmax_weights(learner_joined(spark, sf), "english_proba", {"softmax": 3}, LEARNER)
+    return words.select("learner_id", "id_vocab", "softmax")
+
+
+_PAIR = "learner_id::varchar || ':' || id_vocab"
+
+
+@query(
+    "k7_plan_session_per_learner",
+    f"""{PER_LEARNER_SQL}, a AS (
+      SELECT *, CASE WHEN {UNIFORM_SQL.format(seed=8, id=_PAIR)} < 0.5 THEN 'german' ELSE 'english' END AS language_asked
+      FROM j WHERE NOT (try_session_german_english OR try_session_english_german)), d AS (
+      SELECT learner_id, id_vocab, language_asked, 3 * (1 - CASE language_asked WHEN 'german' THEN german_proba ELSE english_proba END)
+        - ln(-ln({UNIFORM_SQL.format(seed=7, id=_PAIR)} + 0.5E0 / 4294967296.0E0)) AS draw FROM a), r AS (
+      SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY draw DESC, id_vocab) AS slot FROM d)
+    SELECT learner_id, CAST(slot AS BIGINT) AS slot, id_vocab, language_asked FROM r WHERE slot <= 4""",
+)
+def k7_per_learner(spark, sf):
+    plan = selection.plan_session(learner_joined(spark, sf), 7, 4, partition_by=LEARNER)
+    return plan.select("learner_id", "slot", "id_vocab", "language_asked")
+
+
 # --- dictionary building ----------------------------------------------------------------------------
 
 
@@ -434,11 +536,11 @@ LIST_DRAW = "CAST(('0x' || substr(md5('42:' || \"German\" || ':' || \"English\")
 @query(
     "k3_sample_words",
     f"""WITH {LISTS_SQL} SELECT "German", "English", round({LIST_DRAW}, 6) AS draw FROM fx_lists
-    ORDER BY {LIST_DRAW}, "German", "English" LIMIT 100000""",
+    ORDER BY {LIST_DRAW}, "German", "English" LIMIT 150""",
 )
 def k3(spark, sf):
     lists = word_lists(spark, sf).select("German", "English")
-    return vocabulary.sample_words(lists, 42).withColumnRenamed("_draw", "draw").drop("_place")
+    return vocabulary.sample_words(lists, 42, 150).withColumnRenamed("_draw", "draw").drop("_place")
 
 
 def _step_sql(step):

@@ -112,7 +112,7 @@ def with_probabilities(vocab):
 
 
 def test_softmax_sums_to_one(vocab):
-    words = selection.softmax_weights(with_probabilities(vocab), "english_proba", "w")
+    words = selection.softmax_weights(with_probabilities(vocab), "english_proba", {"w": 3.0})
     assert words.agg(F.sum("w")).first()[0] == pytest.approx(1.0)
     weights = [math.exp(3 * (1 - i / 20)) for i in range(1, 15)]
     assert words.filter("id_vocab = 1").first().w == pytest.approx(weights[0] / sum(weights))
@@ -138,6 +138,39 @@ def test_session_plan_has_no_tried_or_repeated_word(vocab):
     assert sorted(map(str, again)) == sorted(map(str, plan))
 
 
+def test_a_learner_is_not_touched_by_another(spark):
+    words = spark.createDataFrame(
+        [(1, 7, 0, 0, False, False), (2, 7, 0, 0, False, False)],
+        "learner_id LONG, id_vocab LONG, score_german_english LONG, score_english_german LONG, "
+        "try_session_german_english BOOLEAN, try_session_english_german BOOLEAN",
+    )
+    tries = spark.createDataFrame([(1, 7, "german", "Hund", "Hund", "dog")], "learner_id LONG, id_vocab LONG, language_asked STRING, guess STRING, german_word STRING, english_word STRING")
+    done = {r.learner_id: (r.score_english_german, r.try_session_english_german) for r in review.update_vocab(words, tries, ["learner_id"]).collect()}
+    assert done == {1: (1, True), 2: (0, False)}
+    known = spark.createDataFrame([(1, 7, 0.2, 0.9), (2, 7, 0.8, 0.9)], "learner_id LONG, id_vocab LONG, english_proba DOUBLE, german_proba DOUBLE")
+    joined = review.with_probabilities(words, known, ["learner_id"])
+    assert joined.count() == 2
+    report = {r.learner_id: r.words_left for r in review.knowledge_report(joined, partition_by=["learner_id"]).collect()}
+    assert report == {1: 1, 2: 0}
+
+
+def test_session_plan_of_a_learner_with_most_words(spark):
+    words = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("learner_id"), F.col("id").alias("id_vocab"),
+        F.lit(False).alias("try_session_german_english"), F.lit(False).alias("try_session_english_german"),
+        (F.col("id") % 100 / 100.0).alias("english_proba"), F.lit(0.5).alias("german_proba"),
+    )
+    plan = selection.plan_session(words, 5, 20, partition_by=["learner_id"])
+    one = plan.filter("learner_id = 1").orderBy("slot").collect()
+    assert [r.slot for r in one] == list(range(1, 21))
+    alone = selection.with_direction(words.filter("learner_id = 1"), 5, ["learner_id"]).withColumn(
+        "p", F.when(F.col("language_asked") == "german", F.col("german_proba")).otherwise(F.col("english_proba"))
+    )
+    drawn = alone.withColumn("d", 3 * (1 - F.col("p")) + gumbel(5, F.col("learner_id"), F.col("id_vocab")))
+    assert [r.id_vocab for r in one] == [r.id_vocab for r in drawn.orderBy(F.col("d").desc()).limit(20).collect()]
+    assert plan.filter("learner_id <> 1").groupBy("learner_id").count().filter("count <> 1").isEmpty()
+
+
 def test_add_words_in_priority_order(spark, vocab):
     first = spark.createDataFrame([("neu", "new"), ("viel", "plenty"), ("alt", "old"), ("alt", "old")], "German STRING, English STRING")
     second = spark.createDataFrame([("neu", "fresh"), ("jung", "young")], "German STRING, English STRING")
