@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recall_engine.operators.global_order import dense_id
 from recall_engine.schemas import IMPUTE
 
 MAX_DUMMIES = 1_000  # one-hot columns over all variables
@@ -47,6 +48,8 @@ class OneHot:
         return cls(values, {c: dataset.schema[c].dataType.simpleString() for c in columns})
 
     def _name(self, column: str, value: str) -> str:
+        if set(value) & set(".`"):  # would not be read as one column name
+            return f"{column}__#{self.values[column].index(value)}"
         return f"{column}__{value.capitalize() if self.kinds[column] == 'boolean' else value}"
 
     @property
@@ -93,14 +96,18 @@ class LabelIndex:
     inline: dict[str, dict[str | None, int]] | None
 
     @classmethod
-    def fit(cls, dataset: DataFrame, columns: Sequence[str], order: str) -> LabelIndex:
+    def fit(
+        cls, dataset: DataFrame, columns: Sequence[str], order: str, most_inline: int | None = MAX_INLINE_CATEGORIES
+    ) -> LabelIndex:
         first = _text_values(dataset, columns, order).groupBy("variable", "value").agg(F.min(order).alias("_first"))
-        # One row per category and variable.
-        by_first = Window.partitionBy("variable").orderBy("_first", F.col("value").asc_nulls_first())
-        lookup = first.select("variable", "value", (F.row_number().over(by_first) - 1).alias("index"))
-        rows = lookup.limit(MAX_INLINE_CATEGORIES + 1).collect()
+        # Numbered over all variables at once, however many categories one has, less where each variable starts.
+        numbered = dense_id(first, ["variable", "_first", F.col("value").asc_nulls_first()], "_place")
+        starts = numbered.groupBy("variable").agg(F.min("_place").alias("_start"))  # one row per variable
+        placed = numbered.join(F.broadcast(starts), "variable")
+        lookup = placed.select("variable", "value", (F.col("_place") - F.col("_start")).cast("int").alias("index"))
+        rows = lookup.collect() if most_inline is None else lookup.limit(most_inline + 1).collect()
         inline = None
-        if len(rows) <= MAX_INLINE_CATEGORIES:
+        if most_inline is None or len(rows) <= most_inline:
             inline = {c: {r.value: r["index"] for r in rows if r.variable == c} for c in columns}
         kinds = {c: dataset.schema[c].dataType for c in columns}
         return cls(lookup, tuple(columns), kinds, inline)
@@ -157,7 +164,11 @@ def _coded(column: str, codes: dict[str, int], missing: int | None) -> Column:
     return F.when(F.col(column).isNull(), gap).otherwise(known)
 
 
+def inline_codes(dataset: DataFrame, index: dict[str, dict]) -> DataFrame:
+    """Values replaced by their index, an unseen one by null."""
+    return dataset.withColumns({c: _coded(c, known["codes"], known["missing"]) for c, known in index.items()})
+
+
 def apply_inline_index(dataset: DataFrame, index: dict[str, dict]) -> DataFrame:
     """Replace values by their index; rows with an unseen value are left out."""
-    coded = dataset.withColumns({c: _coded(c, known["codes"], known["missing"]) for c, known in index.items()})
-    return coded.dropna(subset=list(index))
+    return inline_codes(dataset, index).dropna(subset=list(index))

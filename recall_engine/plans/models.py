@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -65,18 +67,27 @@ class LogisticSettings:
 
 @dataclass(frozen=True)
 class BoostingSettings:
-    """Many small steps. Trees here grow by level and at most 30 deep."""
+    """Many small steps. Trees here grow by level; Spark takes a depth of at most 30.
+
+    With validation rows training stops once ``patience`` further trees have not lowered the loss on them, and the
+    trees up to the best are kept. ``elimination_trees`` is how many trees judge the features (None: ``trees``).
+    """
 
     trees: int = 1_000
     learning_rate: float = 0.002
     max_depth: int = 10
     feature_fraction: float = 0.75
     row_fraction: float = 0.75
-    min_gain_to_go_on: float = 0.0
+    patience: int = 30
+    elimination_trees: int | None = None
     oversample: bool = False
     scale: bool = False
     seed: int = 0
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.max_depth <= 30:
+            raise ValueError(f"max_depth {self.max_depth}: trees can be 0 to 30 deep")
+
 
 @dataclass
 class FittedModel:
@@ -107,7 +118,7 @@ class FittedModel:
     def predict(self, dataset: DataFrame) -> DataFrame:
         """``dataset`` with ``y_pred`` and ``y_proba``.
 
-        Rows with a category unseen in training cannot be indexed and are left out of tree models.
+        Rows with a category unseen in training cannot be indexed: :meth:`rejected` has those that a tree model leaves out.
         """
         raw = [c for c in dataset.columns]
         keep = F.struct(*[F.col(c) for c in raw]).alias("_row")
@@ -119,6 +130,15 @@ class FittedModel:
             F.get(vector_to_array("probability"), F.lit(1)).alias("y_proba"),
         )
 
+    def rejected(self, dataset: DataFrame) -> DataFrame:
+        """The rows that ``predict`` leaves out, unchanged."""
+        if not self.index:
+            return dataset.limit(0)
+        row = F.struct("*").alias("_row")
+        coded = prep.inline_codes(prep.impute(dataset.select("*", row)), self.index)
+        missing = reduce(or_, [F.col(c).isNull() for c in self.index])
+        return coded.filter(missing).select("_row.*")
+
     def evaluate(self, dataset: DataFrame) -> DataFrame:
         """All metrics on rows with a known target, as (metric, value)."""
         return metrics.evaluate(self.predict(dataset).withColumn("y_true", F.col(self.spec.target)))
@@ -271,22 +291,42 @@ def eliminate_features(
 # --- boosting ---------------------------------------------------------------------------------------
 
 
-def boosting(settings: BoostingSettings, features: str = "features", validation: bool = False) -> GBTClassifier:
-    classifier = GBTClassifier(
+def boosting(settings: BoostingSettings, features: str = "features") -> GBTClassifier:
+    return GBTClassifier(
         featuresCol=features,
         labelCol="label",
         maxIter=settings.trees,
         stepSize=settings.learning_rate,
-        maxDepth=min(settings.max_depth, 30),
+        maxDepth=settings.max_depth,
         featureSubsetStrategy=str(settings.feature_fraction),
         subsamplingRate=settings.row_fraction,
-        validationTol=settings.min_gain_to_go_on,
         seed=settings.seed,
         # Node ids of deep trees are kept in executor memory only where the cluster allows it.
         cacheNodeIds=False,
         maxMemoryInMB=512,
     )
-    return classifier.setValidationIndicatorCol("is_valid") if validation else classifier
+
+
+def best_prefix(losses: Sequence[float], patience: int) -> int:
+    """Number of trees up to the smallest loss seen before ``patience`` trees in a row brought no smaller one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees."""
+    context = SparkSession.active().sparkContext
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = fitted._java_obj.trees()[i], fitted.treeWeights[i]
+    kind = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    return GBTClassificationModel(kind(fitted.uid, trees, weights)).setFeaturesCol(fitted.getFeaturesCol())
 
 
 def fit_boosting(
@@ -299,10 +339,8 @@ def fit_boosting(
     """Train on ``dataset``; ``valid`` rows stop the training early. ``keep`` eliminates features first."""
     codes = spec.boolean + spec.categorical
     ready = prep.impute(dataset.filter(F.col(spec.target).isNotNull()))
-    index = prep.LabelIndex.fit(ready, codes, ORDER)
-    if index.inline is None:
-        raise ValueError(f"more than {prep.MAX_INLINE_CATEGORIES} categories in the model inputs")
-    inline = index.as_inline()
+    # A tree model carries the codes of its inputs with it, whatever their number.
+    inline = prep.LabelIndex.fit(ready, codes, ORDER, most_inline=None).as_inline()
     inputs = [*spec.numerical, *spec.diff_time, *codes]
 
     def encode(rows: DataFrame) -> DataFrame:
@@ -324,11 +362,16 @@ def fit_boosting(
     kept = [c for c in ("label", "is_valid") if c in rows.columns]
     training = stage(VectorAssembler(inputCols=inputs, outputCol="all").transform(rows).select("all", *kept), "training")
     used, ranking = inputs, []
+    seen = ~F.col("is_valid") if valid is not None else F.lit(True)
     if keep:
-        judge = boosting(replace(settings, trees=min(settings.trees, 100)), "kept", valid is not None)
-        ranking = eliminate_features(training, inputs, keep, judge)
+        judge = boosting(replace(settings, trees=settings.elimination_trees or settings.trees), "kept")
+        ranking = eliminate_features(training.filter(seen), inputs, keep, judge)
         used = [name for name, rank in ranking if rank == 1]
-    fitted = boosting(settings, validation=valid is not None).fit(_vectors(training, inputs, used))
+    vectors = _vectors(training, inputs, used)
+    fitted = boosting(settings).fit(vectors.filter(seen))
+    if valid is not None and settings.trees > 1:
+        losses = fitted.evaluateEachIteration(vectors.filter("is_valid"))
+        fitted = first_trees(fitted, best_prefix(losses, settings.patience))
     pipeline = PipelineModel(stages=[VectorAssembler(inputCols=used, outputCol="features"), fitted])
     return FittedModel(
         "gradient_boosting", spec, used, pipeline, index=inline, scaler=scaler, fill=MISSING, ranking=ranking

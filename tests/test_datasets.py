@@ -79,6 +79,14 @@ def test_one_hot_at_inference(spark):
     assert [tuple(r) for r in got] == [(0, 0, 0, 0, 0), (0, 0, 1, 0, 1)]
 
 
+def test_one_hot_of_values_that_are_no_plain_column_names(spark):
+    train = spark.createDataFrame([("x.y",), ("a`b",), ("c",)], "c STRING")
+    fitted = prep.OneHot.fit(train, ["c"])
+    coded = fitted.transform(train)
+    assert prep.Scaler.fit(coded, fitted.outputs).transform(coded).count() == 3
+    assert [sum(r) for r in coded.select(fitted.outputs).collect()] == [1, 1, 1]
+
+
 def test_one_hot_refuses_identifiers(spark, monkeypatch):
     monkeypatch.setattr(prep, "MAX_DUMMIES", 3)
     with pytest.raises(ValueError):
@@ -86,10 +94,9 @@ def test_one_hot_refuses_identifiers(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("inline", [1000, 1])
-def test_label_index_orders_by_first_appearance(spark, monkeypatch, inline):
-    monkeypatch.setattr(prep, "MAX_INLINE_CATEGORIES", inline)
+def test_label_index_orders_by_first_appearance(spark, inline):
     train = spark.createDataFrame([(0, None), (1, "b"), (2, "a"), (3, "b")], "o INT, c STRING")
-    index = prep.LabelIndex.fit(train, ["c"], "o")
+    index = prep.LabelIndex.fit(train, ["c"], "o", inline)
     assert (index.inline is None) == (inline == 1)
     kept, rejected = index.transform(spark.createDataFrame([("a",), ("new",), (None,), ("b",)], "c STRING"))
     assert sorted(r.c for r in kept.collect()) == [0.0, 1.0, 2.0]

@@ -90,6 +90,38 @@ def test_unseen_category_leaves_the_row_out(rows):
     model = models.fit_boosting(rows.filter("split = 'train'"), settings)
     strange = rows.limit(3).withColumn("language_asked", F.lit("french"))
     assert model.predict(strange).count() == 0
+    mixed = strange.unionByName(rows.limit(2))
+    assert model.rejected(mixed).count() == 3 and model.rejected(mixed).columns == mixed.columns
+    assert model.predict(mixed).count() == 2
+
+
+def test_early_stop_keeps_the_best_prefix_under_patience(rows):
+    assert models.best_prefix([5, 4, 6, 6, 3, 9], 2) == 2
+    assert models.best_prefix([5, 4, 6, 6, 3, 9], 3) == 5
+    assert models.best_prefix([1.0], 30) == 1
+    train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+    settings = models.BoostingSettings(trees=12, learning_rate=0.6, max_depth=4, patience=3)
+    full = models.fit_boosting(train, settings)
+    stopped = models.fit_boosting(train, settings, valid)
+    held = full.preprocess(valid).withColumn("label", F.col("result").cast("double"))
+    assembler, trees = full.pipeline.stages
+    losses = trees.evaluateEachIteration(assembler.transform(held))
+    best = models.best_prefix(losses, 3)
+    assert stopped.pipeline.stages[-1].getNumTrees == best
+    assert stopped.pipeline.stages[-1].evaluateEachIteration(assembler.transform(held)) == pytest.approx(losses[:best])
+
+
+def test_more_than_a_thousand_categories(rows):
+    twice = rows.unionByName(rows.withColumn("id_historical_data", F.col("id_historical_data") + 1_000_000))
+    wide = twice.withColumn("language_asked", F.concat("language_asked", F.lit("."), F.col("id_historical_data").cast("string")))
+    assert wide.count() > 1000
+    model = models.fit_boosting(wide, models.BoostingSettings(trees=1, max_depth=2))
+    assert model.predict(wide).count() == wide.count()
+
+
+def test_depth_beyond_the_limit_is_refused():
+    with pytest.raises(ValueError):
+        models.BoostingSettings(max_depth=450)
 
 
 def test_components_and_explained_variance(spark, points):
