@@ -7,6 +7,8 @@ never a different sampling of the range bounds.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for durable data: ``spark.checkpoint.dir``; a temporary one only in local tests."""
+    """Folder for durable data: ``spark.checkpoint.dir``.
+
+    On a single machine without that setting, one folder is made per session, put into the setting, and removed
+    when the application ends; a cluster has to name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="recall-")
+    folder = tempfile.mkdtemp(prefix="recall-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
