@@ -20,6 +20,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from recall_engine.llm.registry import query
 
 BLANK = "\u2581"
 LONGEST = 64
-KNOWN_CHUNKS = 200_000  # distinct chunks a worker remembers; a bound on memory, not on results
+KNOWN_CHUNKS = 400_000  # distinct chunks a worker remembers; a bound on memory, not on results
 
 
 def model_path() -> str:
@@ -51,7 +52,7 @@ class Pieces:
         n = self.library.get_piece_size()
         usable = [i for i in range(n) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i))]
         self.ids = {self.library.id_to_piece(i): i for i in usable}
-        self.of_code = -1 - np.arange(0x110000, dtype=np.int64)
+        self.of_code = -1 - np.arange(0x110000, dtype=np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_code[ord(piece)] = i
@@ -63,7 +64,7 @@ class Pieces:
         scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         #: Score order of each piece, 0 the best.
-        self.rank = np.full(n, len(order), np.int64)
+        self.rank = np.full(n, len(order), np.int32)
         for piece, i in self.ids.items():
             self.rank[i] = order[scores[piece]]
         pairs = [
@@ -75,8 +76,17 @@ class Pieces:
         pairs.sort()
         self.size = n
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        self.pair_ids = np.array([i for _, i in pairs], np.int32)
         self.merged = dict(pairs)
+        #: Chunks met so far in this worker with their ids.
+        self.known: dict[str, tuple[list[int], str]] = {}
+        # Pairs of Latin letters, the first step of nearly all texts, are read from a square table.
+        letters = [i for p, i in self.ids.items() if len(p) == 1 and (ord(p) < 0x250 or p == BLANK)]
+        self.letter = np.full(n + 1, len(letters), np.int32)  # the last entry is for symbols without a piece
+        self.letter[letters] = np.arange(len(letters))
+        self.square = np.full((len(letters) + 1, len(letters) + 1), -1, np.int32)
+        left, right = (x.ravel() for x in np.meshgrid(letters, letters, indexing="ij"))
+        self.square[: len(letters), : len(letters)] = self.lookup(left, right).reshape(len(letters), -1)
 
     def symbols(self, text: str) -> np.ndarray:
         """A piece id per character; -1 - code point where there is no piece."""
@@ -84,16 +94,23 @@ class Pieces:
 
     def spelled(self, symbols: list[int]) -> list[int]:
         """Ids with byte pieces for the characters that have none."""
-        if min(symbols) >= 0:
-            return symbols
         out: list[int] = []
         for s in symbols:
             out.extend([s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode()])
         return out
 
+    def first_pairs(self, sym: np.ndarray) -> np.ndarray:
+        """``lookup`` of all neighbours in a matrix of symbols."""
+        other = len(self.square) - 1
+        letters = self.letter[np.where(sym >= 0, sym, self.size)]
+        found = self.square[letters[:, :-1], letters[:, 1:]]
+        rest = np.nonzero(((letters[:, :-1] == other) | (letters[:, 1:] == other)) & (sym[:, :-1] >= 0) & (sym[:, 1:] >= 0))
+        found[rest] = self.lookup(sym[:, :-1][rest], sym[:, 1:][rest])
+        return found
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of the merged piece of each pair, -1 where there is none."""
-        keys = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
+        keys = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
 
@@ -132,33 +149,34 @@ def merge_one(symbols: list[int], vocabulary: Pieces) -> list[int]:
     return [s for s, g in zip(sym, gone, strict=True) if not g]
 
 
-def merge_all(chunks: list[str], vocabulary: Pieces) -> list[list[int]]:
+def merge_all(chunks: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The agendas of many short chunks (none of them empty): each round merges the best pair of every chunk that has one.
 
     Chunks are rows of a matrix padded on the right; a merge closes the gap in its row. Ranks of the pairs are
-    kept and only the two pairs beside a merge are looked up again.
+    kept and only the two pairs beside a merge are looked up again. Returns all symbols in a row, and their number
+    per chunk.
     """
     if not chunks:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     lengths = np.array([len(c) for c in chunks], np.int64)
     width = int(lengths.max())
-    none = np.int64(1) << 40
-    sym = np.full((len(chunks), width + 1), -(1 << 30), np.int64)
+    none = np.int32(1 << 30)
+    sym = np.full((len(chunks), width + 1), -(1 << 30), np.int32)
     mask = np.arange(width + 1) < lengths[:, None]
     sym[mask] = vocabulary.symbols("".join(chunks))
-    to = vocabulary.lookup(sym[:, :-1], sym[:, 1:])
+    to = vocabulary.first_pairs(sym)
     cost = np.where(to >= 0, vocabulary.rank[to], none)
-    out: list[list[int] | None] = [None] * len(chunks)
+    out, counts = np.zeros((len(chunks), width + 1), np.int32), np.zeros(len(chunks), np.int64)
     rows = np.arange(len(chunks))
     columns = np.arange(width + 1)
     while True:
         best = cost.argmin(axis=1)
         line = np.arange(len(rows))
         open_ = cost[line, best] < none
-        for r in np.flatnonzero(~open_):
-            out[rows[r]] = sym[r, : lengths[r]].tolist()
+        if not open_.all():
+            out[rows[~open_]], counts[rows[~open_]] = sym[~open_], lengths[~open_]
         if not open_.any():
-            return out  # type: ignore[return-value]
+            return out[np.arange(width + 1) < counts[:, None]], counts
         if not open_.all():
             sym, cost, to, best, rows, lengths = sym[open_], cost[open_], to[open_], best[open_], rows[open_], lengths[open_]
             line = np.arange(len(rows))
@@ -179,53 +197,61 @@ def merge_all(chunks: list[str], vocabulary: Pieces) -> list[list[int]]:
             to[r, c], cost[r, c] = fresh, np.where(fresh >= 0, vocabulary.rank[fresh], none)
 
 
-def encode_chunks(chunks: list[str], vocabulary: Pieces) -> list[list[int]]:
+def encode_chunks(chunks: list[str], vocabulary: Pieces) -> dict[str, list[int]]:
     """Ids of each chunk by the agenda, checked against the library."""
-    short = sorted((i for i, c in enumerate(chunks) if len(c) <= LONGEST), key=lambda i: len(chunks[i]))
-    ids: list[list[int]] = [[]] * len(chunks)
+    ids: dict[str, list[int]] = {}
+    short = sorted((c for c in chunks if len(c) <= LONGEST), key=len)
     for start in range(0, len(short), 20_000):  # alike lengths together: little padding
         part = short[start : start + 20_000]
-        for i, merged in zip(part, merge_all([chunks[i] for i in part], vocabulary), strict=True):
-            ids[i] = vocabulary.spelled(merged)
-    for i, chunk in enumerate(chunks):
+        flat, counts = merge_all(part, vocabulary)
+        ends, plain = np.cumsum(counts).tolist(), flat.tolist()
+        for chunk, a, b in zip(part, [0, *ends], ends, strict=False):
+            ids[chunk] = plain[a:b]
+        for at in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right")).tolist():
+            ids[part[at]] = vocabulary.spelled(ids[part[at]])
+    for chunk in chunks:
         if len(chunk) > LONGEST:
-            ids[i] = vocabulary.spelled(merge_one(vocabulary.symbols(chunk).tolist(), vocabulary))
-    # The library puts one blank mark in front of whatever it encodes.
-    marked = [i for i, c in enumerate(chunks) if c.startswith(BLANK)]
-    library = vocabulary.library.encode([chunks[i][1:].replace(BLANK, " ") for i in marked], num_threads=1)
-    for i, want in zip(marked, library, strict=True):
-        if chunks[i] != BLANK and ids[i] != want:
-            raise ValueError(f"chunk {chunks[i]!r}: {ids[i]} differs from the library's {want}")
+            ids[chunk] = vocabulary.spelled(merge_one(vocabulary.symbols(chunk).tolist(), vocabulary))
+    # The library puts one blank mark in front of whatever it encodes; a single mark is therefore not compared.
+    marked = [c for c in ids if c != BLANK]
+    library = vocabulary.library.encode([c[1:].replace(BLANK, " ") for c in marked], num_threads=1)
+    for chunk, want in zip(marked, library, strict=True):
+        if ids[chunk] != want:
+            raise ValueError(f"chunk {chunk!r}: {ids[chunk]} differs from the library's {want}")
     return ids
 
 
-def encode_batch(texts: pa.Array, vocabulary: Pieces, known: dict[str, tuple[list[int], str]]) -> list[tuple[list[int], str]]:
+def chunks_of(text: str) -> list[str]:
+    """Runs of blank marks, each with the characters behind it; the library puts one blank in front."""
+    if not text:
+        return []
+    chunks, run = [], 0
+    for word in text.replace(BLANK, " ").split(" "):
+        run += 1
+        if word:
+            chunks.append(BLANK * run + word)
+            run = 0
+    if run:
+        chunks.append(BLANK * run)
+    return chunks
+
+
+def encode_batch(texts: pa.Array, vocabulary: Pieces) -> list[tuple[list[int], str]]:
     """Ids of every text, as a list and as decimals joined by commas."""
-    pieces_of: list[list[str]] = []
-    for text in texts.to_pylist():
-        if not text:
-            pieces_of.append([])
-            continue
-        words = (" " + text).replace(BLANK, " ").split(" ")
-        # Empty strings stand for further blanks of a run, which belong to the word behind them.
-        chunks, run = [], 0
-        for w in words[1:]:
-            run += 1
-            if w:
-                chunks.append(BLANK * run + w)
-                run = 0
-        if run:
-            chunks.append(BLANK * run)
-        pieces_of.append(chunks)
-    fresh = list({c for chunks in pieces_of for c in chunks} - known.keys())
-    if len(known) + len(fresh) > KNOWN_CHUNKS:
-        known.clear()
-        fresh = list({c for chunks in pieces_of for c in chunks})
-    for chunk, ids in zip(fresh, encode_chunks(fresh, vocabulary), strict=True):
-        known[chunk] = (ids, ",".join(map(str, ids)))
-    return [
-        ([i for c in chunks for i in known[c][0]], ",".join([known[c][1] for c in chunks])) for chunks in pieces_of
-    ]
+    chunks = [chunks_of(t) for t in texts.to_pylist()]
+    distinct, known = {c for cs in chunks for c in cs}, vocabulary.known
+    fresh = list(distinct - known.keys())
+    new = {chunk: (ids, ",".join(map(str, ids))) for chunk, ids in encode_chunks(fresh, vocabulary).items()}
+    if len(known) + len(new) <= KNOWN_CHUNKS:
+        known.update(new)
+        found = known
+    else:  # full: what came first stays, as frequent chunks come early
+        found = {c: known[c] for c in distinct if c in known} | new
+    out = []
+    for cs in chunks:
+        pairs = [found[c] for c in cs]
+        out.append((list(chain.from_iterable([ids for ids, _ in pairs])), ",".join([s for _, s in pairs])))
+    return out
 
 
 def encode_and_decode(
@@ -241,10 +267,10 @@ def encode_and_decode(
     text_at = named.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = pieces(where), {}
+        vocabulary = pieces(where)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in sliced(batches, text_col):
-            encoded = encode_batch(texts_of(batch.column(text_at)), vocabulary, known)
+            encoded = encode_batch(texts_of(batch.column(text_at)), vocabulary)
             decoded = vocabulary.library.decode([ids for ids, _ in encoded], num_threads=1)
             columns = [
                 pa.array([len(ids) for ids, _ in encoded], pa.int64()),
