@@ -114,9 +114,9 @@ def _differing(left: DataFrame, right: DataFrame, suspects: DataFrame | None, fa
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with damage at known places: every 97th page has a flipped tail, every 1009th page is gone."""
-    torn = F.when(F.col("page_id") % 97 == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("\x00"))).otherwise(F.col("html"))
-    return pages.filter((F.col("page_id") % 1009 != 7) | F.col("page_id").isNull()).withColumn("html", torn)
+    """A replica with damage at known places: every 97th page has changed letters, every 50021st page is gone."""
+    changed = F.when(F.col("page_id") % 97 == 5, F.translate("html", "e", "a")).otherwise(F.col("html"))
+    return pages.filter((F.col("page_id") % 50021 != 17) | F.col("page_id").isNull()).withColumn("html", changed)
 
 
 def _side(name: str, source: str) -> str:
@@ -135,7 +135,7 @@ def _side(name: str, source: str) -> str:
 
 _SQL = f"""
 WITH {_side("l", "SELECT page_id, url, coalesce(html, '') AS html FROM pages")},
-{_side("r", "SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN coalesce(html, '') || chr(0) ELSE coalesce(html, '') END AS html FROM pages WHERE page_id % 1009 <> 7")}
+{_side("r", "SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN replace(coalesce(html, ''), 'e', 'a') ELSE coalesce(html, '') END AS html FROM pages WHERE page_id % 50021 <> 17")}
 SELECT CAST(file AS BIGINT) AS file, place, coalesce(l.id, r.id) AS id, l.a AS left_offset, l.b AS left_end,
        CASE WHEN l.h IS NOT NULL THEN sha256(concat_ws(':', l.h, l.a, l.b)) END AS left_hash, r.a AS right_offset, r.b AS right_end,
        CASE WHEN r.h IS NOT NULL THEN sha256(concat_ws(':', r.h, r.a, r.b)) END AS right_hash
