@@ -37,7 +37,7 @@ BLOCK, LANES = 4096, 1024
 DOCS_PER_FILE = 512
 END_ID = 1
 MAGIC = b"IDRC"
-KNOWN_WORDS = 250_000  # distinct words a worker remembers; a bound on memory, not on results
+KNOWN_WORDS = 500_000  # distinct words a worker remembers; a bound on memory, not on results
 _ONE_BITS, _TWO_BITS = 10, 11
 _SURE = 7  # highest confidence
 _TOP = np.uint64(1 << 16)
@@ -276,15 +276,18 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """
     tokenizer, known = _tokenizer(path)
     words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-    fresh = list({w for ws in words for w in ws} - known.keys())
-    if len(known) + len(fresh) > KNOWN_WORDS:
-        known.clear()
-        fresh = list({w for ws in words for w in ws})
+    distinct = {w for ws in words for w in ws}
+    fresh, new = list(distinct - known.keys()), {}
     for start in range(0, len(fresh), 10_000):
         part = fresh[start : start + 10_000]
         for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+            new[word] = np.array(found.ids, "<u4").tobytes()
+    if len(known) + len(new) <= KNOWN_WORDS:
+        known.update(new)
+        ids = known
+    else:  # full: what came first stays, as frequent words come early
+        ids = {w: known[w] for w in distinct if w in known} | new
+    return [np.frombuffer(b"".join([ids[w] for w in ws]), "<u4") for ws in words]
 
 
 def token_path() -> str:
