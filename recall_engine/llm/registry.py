@@ -19,6 +19,7 @@ MODULES = (
     "merkle_audit",
     "range_coder",
     "separator_scan",
+    "fill_middle",
     "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}
