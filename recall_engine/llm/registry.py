@@ -20,6 +20,7 @@ MODULES = (
     "range_coder",
     "separator_scan",
     "fill_middle",
+    "source_divergence",
     "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}
