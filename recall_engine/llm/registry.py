@@ -21,6 +21,7 @@ MODULES = (
     "separator_scan",
     "fill_middle",
     "source_divergence",
+    "private_spans",
     "pipeline_query",
 )
 _QUERIES: dict[str, Query] = {}
