@@ -38,16 +38,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _load() -> None:
-    for module in MODULES:
-        import_module(f"recall_engine.llm.{module}")
+def load(module: str) -> None:
+    """Imports one of ``MODULES``, which registers its queries."""
+    import_module(f"recall_engine.llm.{module}")
 
 
 def queries() -> dict[str, Query]:
-    _load()
+    """Of the modules loaded so far."""
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    _load()
     return dict(_ORACLES)
