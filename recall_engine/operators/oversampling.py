@@ -1,124 +1,189 @@
 """Synthetic minority rows between a row and one of its nearest minority neighbours.
 
-The neighbours are exact. Rows are laid out along their main direction and cut into equal blocks. A row
-first finds neighbours in its own block; the distance of the k-th bounds what any other block could
-improve, because a projection never lengthens a distance. So it visits only blocks whose interval comes
-closer than that bound. Each pair of blocks is one bounded task that returns at most k rows per visitor.
+The neighbours are exact. Equal rows are merged into one point first; what a point's own copies leave open of the
+``k`` neighbours is searched for, and only for points that give new rows. Points are cut into k-d cells: recursive
+quantile cuts over their principal components, always over the component that is spread the widest. A point finds the
+bound of its k-th distance in its own cell. Then cells go down the tree of boxes (in component space, where no distance is
+longer than in full) and keep what lies closer than their farthest bound; at the leaves each point is held against
+the box itself. Each pair of cells that is left is one bounded task that returns at most k points per visitor.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions.hashing import uniform
-from recall_engine.operators.global_order import dense_id, prefix_sums
+from recall_engine.operators.global_order import dense_id
 from recall_engine.staging import stage
 
 BLOCK_ROWS = 1_024
-PAIR_SCHEMA = "place LONG, near LONG, distance DOUBLE, x ARRAY<DOUBLE>"
+#: Children of a tree node, and principal components that boxes have at most.
+FAN, COMPONENTS = 4, 16
+#: Points of a cell that no component tells apart are dealt to at most so many blocks.
+_PARTS = 1 << 20
+PAIR_SCHEMA = "place LONG, near LONG, square DOUBLE, copies LONG, x ARRAY<DOUBLE>"
 
 
 def _closest(visitors: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k closest ``rows`` of each visitor, not itself; ties by place."""
-    columns = ["place", "near", "distance", "x"]
+    columns = ["place", "near", "square", "copies", "x"]
     if visitors.empty or rows.empty:
         return pd.DataFrame(columns=columns)
     rows = rows.sort_values("place")
     left, right = np.stack(visitors["x"].to_numpy()), np.stack(rows["x"].to_numpy())
     squares = np.zeros((len(left), len(right)))
-    for axis in range(left.shape[1]):  # differences, not the expanded square: equal rows are 0 apart
+    for axis in range(left.shape[1]):  # differences, not the expanded square: it loses digits
         squares += (left[:, axis, None] - right[None, :, axis]) ** 2
     mine, theirs = visitors["place"].to_numpy(), rows["place"].to_numpy()
     squares[mine[:, None] == theirs[None, :]] = np.inf
     count = min(k, len(right))
     order = np.argsort(squares, axis=1, kind="stable")[:, :count]
-    found = np.take_along_axis(squares, order, axis=1)
+    found = np.take_along_axis(squares, order, axis=1).ravel()
+    order = order.ravel()
     out = pd.DataFrame(
-        {
-            "place": np.repeat(mine, count),
-            "near": theirs[order.ravel()],
-            "distance": np.sqrt(found.ravel()),
-            "x": list(right[order.ravel()]),
-        }
+        {"place": np.repeat(mine, count), "near": theirs[order], "square": found, "copies": rows["copies"].to_numpy()[order], "x": list(right[order])}
     )
-    return out[np.isfinite(out["distance"])]
+    return out[np.isfinite(out["square"])]
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """Merge candidates: per row the k closest as an array of (distance, near, x).
+    """Merge candidates: per point the k closest as an array of (square, near, copies, x).
 
-    The rank filter is applied before the shuffle as well, so a row with many candidates sends k of them.
+    The rank filter is applied before the shuffle as well, so a point with many candidates sends k of them.
     """
-    rank = F.row_number().over(Window.partitionBy("place").orderBy("distance", "near"))
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("square", "near"))
     kept = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-    found = F.array_sort(F.collect_list(F.struct("distance", "near", "x")))
+    found = F.array_sort(F.collect_list(F.struct("square", "near", "copies", "x")))
     return kept.groupBy("place").agg(found.alias("nearest"))
 
 
-def nearest_neighbours(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest other rows. ``points`` has ``place`` (0, 1, ... along ``along``), ``along`` and ``x``."""
-    blocked = stage(points.withColumn("block", F.floor(F.col("place") / block_rows).cast("long")), "blocks")
+def _components(points: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Adds ``c``, the leading principal components of ``x``, and gives their spreads."""
+    width = points.select(F.max(F.size("x"))).first()[0] or 1
+    names = [f"_x{i}" for i in range(width)]
+    wide = VectorAssembler(inputCols=names, outputCol="_v").transform(points.withColumns({n: F.get("x", F.lit(i)) for i, n in enumerate(names)}))
+    model = PCA(k=min(width, COMPONENTS), inputCol="_v", outputCol="_p").fit(wide)
+    done = model.transform(wide).withColumn("c", vector_to_array("_p")).drop("_v", "_p", *names)
+    shares = [max(float(v), 0.0) if v == v else 0.0 for v in model.explainedVariance.toArray()]
+    return done, [math.sqrt(v) for v in shares]
 
-    def closest(visitors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return _closest(visitors, rows, k)
 
-    inside = blocked.groupBy("block").applyInPandas(lambda rows: _closest(rows, rows, k), PAIR_SCHEMA)
-    own = stage(_best(inside, k), "own-block")
+def _cells(points: DataFrame, spreads: list[float], levels: int) -> DataFrame:
+    """Adds ``cell``: the leaf of a tree of ``levels`` cuts into ``FAN`` equal parts. Only the cuts are written, a row a cell."""
+    spreads = list(spreads)
+    celled = points.withColumn("cell", F.lit(0).cast("long"))
+    for _ in range(levels):
+        widest = max(range(len(spreads)), key=spreads.__getitem__)
+        spreads[widest] /= FAN
+        value = F.get("c", F.lit(widest))
+        parts = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+        cuts = stage(celled.groupBy("cell").agg(F.percentile_approx(value, parts, F.lit(1_000)).alias("_cuts")), "cuts")
+        below = F.size(F.filter("_cuts", lambda cut: cut < value))
+        celled = celled.join(cuts, "cell").withColumn("cell", F.col("cell") * FAN + below).drop("_cuts")
+    return celled
+
+
+def _box(points: DataFrame, by: list[str], width: int) -> DataFrame:
+    edges = [f(F.get("c", F.lit(i))).alias(f"{side}{i}") for i in range(width) for side, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(*by).agg(*edges)
 
-    visits = stage(_visits(blocked, own, k), "visits")
-    wanted = visits.select("home", "other").distinct()
-    wanted = wanted.select(F.col("home").alias("visitor"), F.col("other").alias("block"))
-    hosts = blocked.select("place", "x", "block").join(wanted, "block")
-    away = (
-        visits.groupBy("home", "other").cogroup(hosts.groupBy("visitor", "block")).applyInPandas(closest, PAIR_SCHEMA)
-    )
-    home = own.select("place", F.explode("nearest").alias("n")).select("place", "n.near", "n.distance", "n.x")
-    return _best(home.unionByName(away), k)
 
+def _apart(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    gap = F.greatest(F.lit(0.0), other_low - high, low - other_high)
+    return gap * gap
 
-def _visits(blocked: DataFrame, own: DataFrame, k: int) -> DataFrame:
-    """Rows with every other block that may hold a closer neighbour.
 
-    Blocks ascend along the direction, so these are a run: from the first block that ends after the reach
-    begins to the last one that begins before the reach ends. Both are running counts of block edges.
+def nearest_neighbours(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, seekers: DataFrame | None = None) -> DataFrame:
+    """``place`` and ``nearest``: the exact k nearest other points, closest first.
+
+    ``points`` has a unique ``place``, ``x`` (array of doubles, all different) and ``copies``, which is handed on.
+    ``seekers`` names the places that search; all, if it is not given.
     """
-    farthest = F.get("nearest", F.lit(k - 1))["distance"]
-    # Fewer than k rows in the block bound nothing. The margin covers rounding in the projection.
-    reach = F.coalesce(farthest * (1 + 1e-9) + F.when(farthest > 0, 1e-9).otherwise(0.0), F.lit(float("inf")))
-    rows = blocked.join(own.select("place", reach.alias("reach")), "place", "left").fillna(
-        float("inf"), subset=["reach"]
-    )
-    edges = blocked.groupBy("block").agg(F.min("along").alias("low"), F.max("along").alias("high"))
-    along, span = F.col("along"), F.col("reach")
-    before = _edges_up_to(rows.select("place", (along - span).alias("value")), edges.select("high"), True)
-    begun = _edges_up_to(rows.select("place", (along + span).alias("value")), edges.select("low"), False)
-    found = rows.join(before.withColumnRenamed("edges", "_first"), "place").join(
-        begun.withColumnRenamed("edges", "_after"), "place"
-    )
-    run = F.when(F.col("_first") < F.col("_after"), F.sequence("_first", F.col("_after") - 1))
-    return (
-        found.withColumn("other", F.explode(run))
-        .filter(F.col("other") != F.col("block"))
-        .select("place", "x", F.col("block").alias("home"), "other")
-    )
+    visits, blocked, own = _search(points, k, block_rows, seekers)
+    wanted = visits.select(F.col("home").alias("visitor"), F.col("other").alias("block")).distinct()
+    hosts = blocked.select("place", "x", "copies", "block").join(wanted, "block")
+    closest = lambda visitors, rows: _closest(visitors, rows, k)
+    away = visits.groupBy("home", "other").cogroup(hosts.groupBy("visitor", "block")).applyInPandas(closest, PAIR_SCHEMA)
+    home = own.select("place", F.inline("nearest")).select("place", "near", "square", "copies", "x")
+    return _best(home.unionByName(away), k)
 
 
-def _edges_up_to(probes: DataFrame, edges: DataFrame, inclusive: bool) -> DataFrame:
-    """(place, edges): how many edges lie below each probe value (or at it, if ``inclusive``)."""
-    none = F.lit(None).cast("long")
-    first, second = (0, 1) if inclusive else (1, 0)
-    both = probes.select("place", "value", F.lit(second).alias("turn"), F.lit(0).alias("edge")).unionByName(
-        edges.select(none.alias("place"), F.col(edges.columns[0]).alias("value"), F.lit(first).alias("turn"), F.lit(1).alias("edge"))
-    )
-    counted = prefix_sums(both, ["value", "turn"], {"edges": "edge"})
-    return counted.filter(F.col("place").isNotNull()).select("place", F.col("edges").cast("long").alias("edges"))
+def _search(points: DataFrame, k: int, block_rows: int, seekers: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Who visits which block besides the own one, the points with their block, and what the own block gave."""
+    points, spreads = _components(stage(points.select("place", "x", "copies"), "points"))
+    width = len(spreads)
+    count = points.count()
+    levels = max(0, math.ceil(math.log(count / block_rows, FAN))) if count else 0
+    celled = stage(_cells(points, spreads, levels), "cells")
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).alias("_parts"))
+    part = F.pmod(F.xxhash64("place"), F.least("_parts", F.lit(_PARTS)))
+    blocked = stage(celled.join(sizes, "cell").withColumn("block", F.col("cell") * _PARTS + part).drop("_parts"), "blocks")
+    searching = blocked if seekers is None else blocked.join(seekers.select("place").distinct(), "place", "left_semi")
+    searching = stage(searching.select("place", "x", "c", "copies", F.col("block").alias("home")), "searching")
+
+    inside = searching.groupBy("home").cogroup(blocked.select("place", "x", "copies", "block").groupBy("block"))
+    own = stage(_best(inside.applyInPandas(lambda mine, rows: _closest(mine, rows, k), PAIR_SCHEMA), k), "own-block")
+    farthest = F.get("nearest", F.lit(k - 1))["square"]
+    # Fewer than k points in the block bound nothing. The margin covers rounding in the components.
+    reach = F.coalesce(farthest * (1 + 1e-9) + 1e-9, F.lit(float("inf")))
+    bounded = searching.join(own.select("place", reach.alias("reach")), "place", "left").fillna(float("inf"), subset=["reach"])
+    bounded = stage(bounded, "bounded")
+
+    leaves = stage(_box(blocked, ["cell", "block"], width), "boxes")
+    edges = [f"{side}{i}" for i in range(width) for side in ("lo", "hi")]
+    whole = [(F.min if e.startswith("lo") else F.max)(e).alias(e) for e in edges]
+    homes = _box(bounded, ["home"], width).join(bounded.groupBy("home").agg(F.max("reach").alias("reach")), "home")
+    front = homes.withColumnsRenamed({e: f"h_{e}" for e in edges}).withColumn("node", F.lit(0).cast("long"))
+    near = sum((_apart(F.col(f"h_lo{i}"), F.col(f"h_hi{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(width)), F.lit(0.0))
+    for level in range(1, levels + 1):
+        node = F.floor(F.col("cell") / FAN ** (levels - level)).cast("long")
+        nodes = leaves.groupBy(node.alias("child")).agg(*whole).withColumn("node", F.floor(F.col("child") / FAN).cast("long"))
+        front = front.join(nodes, "node").filter(near <= F.col("reach")).drop("node", *edges).withColumnRenamed("child", "node")
+    pairs = front.join(leaves.withColumnRenamed("cell", "node"), "node").filter((near <= F.col("reach")) & (F.col("home") != F.col("block")))
+    pairs = stage(pairs.select("home", F.col("block").alias("other"), *edges), "pairs")
+    held = sum((_apart(F.get("c", F.lit(i)), F.get("c", F.lit(i)), F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(width)), F.lit(0.0))
+    visits = bounded.join(pairs, "home").filter(held <= F.col("reach")).select("place", "x", "home", "other")
+    return stage(visits, "visits"), blocked, own
+
+
+def made_rows(minority: DataFrame, missing: int, k: int = 5, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``missing`` new rows between the rows ``x`` (arrays of doubles) of a minority.
+
+    Columns: ``place`` (rank of the giving point among the distinct ones) and ``row`` (which of its copies), ``copy`` (which new
+    row of it), ``from_x``, ``near`` and ``near_x`` (the neighbour, itself where it has copies enough), ``step`` and ``x``.
+    """
+    merged = minority.groupBy("x").agg(F.count(F.lit(1)).alias("copies"))
+    points = stage(dense_id(merged, ["x"], "place"), "minority")
+    size = points.agg(F.sum("copies")).first()[0]
+    k = min(k, size - 1)
+    # Everyone gives the same number of new rows; the rest falls on the lowest draws.
+    rows = points.select("place", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("row"))
+    share = F.lit(missing // size)
+    if missing % size:
+        drawn = dense_id(rows.withColumn("_draw", uniform(seed, F.col("place"), F.col("row"))), ["_draw", "place", "row"], "_turn")
+        rows, share = drawn, share + (F.col("_turn") < missing % size).cast("long")
+    givers = stage(rows.withColumn("_share", share.cast("long")).filter("_share > 0").select("place", "row", "_share"), "givers")
+    lone = points.filter(F.col("copies") <= k).join(givers, "place", "left_semi")
+    near = nearest_neighbours(points, k, block_rows, lone)
+    self = F.struct(F.lit(0.0).alias("square"), F.col("place").alias("near"), (F.col("copies") - 1).alias("copies"), F.col("x"))
+    listed = F.concat(F.array(self), F.coalesce("nearest", F.expr("array()")))
+    expanded = F.flatten(F.transform(listed, lambda n: F.array_repeat(n, F.least(n["copies"], F.lit(k)).cast("int"))))
+    known = points.join(givers.select("place").distinct(), "place", "left_semi").join(near, "place", "left")
+    known = known.select("place", F.col("x").alias("from_x"), F.slice(expanded, 1, k).alias("_near"))
+    copies = givers.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share")))).drop("_share").join(known, "place")
+    draw = [F.col("place"), F.col("row"), F.col("copy")]
+    pick = F.floor(uniform(seed + 1, *draw) * F.size("_near")).cast("int")
+    taken = copies.select("place", "row", "copy", "from_x", F.get("_near", pick).alias("_to"), uniform(seed + 2, *draw).alias("step"))
+    mixed = F.zip_with("from_x", F.col("_to.x"), lambda a, b: a + F.col("step") * (b - a))
+    return taken.select("place", "row", "copy", "from_x", F.col("_to.near").alias("near"), F.col("_to.x").alias("near_x"), "step", mixed.alias("x"))
 
 
 def smote(
@@ -133,28 +198,11 @@ def smote(
     if len(counts) != 2:
         raise ValueError("two classes are needed")
     rare, often = sorted(counts, key=counts.get)
-    missing, size = counts[often] - counts[rare], counts[rare]
+    missing = counts[often] - counts[rare]
     if missing == 0:
         return data
-    if size <= 1:
+    if counts[rare] <= 1:
         raise ValueError("a minority row needs a neighbour")
-    vectors = VectorAssembler(inputCols=list(inputs), outputCol="v").transform(data.filter(F.col(target) == rare))
-    direction = PCA(k=1, inputCol="v", outputCol="p").fit(vectors)
-    along = F.get(vector_to_array("p"), F.lit(0))
-    points = direction.transform(vectors).select(vector_to_array("v").alias("x"), along.alias("along"))
-    placed = stage(dense_id(points, ["along", "x"], "place"), "minority")
-    near = nearest_neighbours(placed, min(k, size - 1), block_rows)
-
-    # Everyone gives the same number of new rows; the rest falls on the lowest draws.
-    drawn = dense_id(placed.select("place").withColumn("_draw", uniform(seed, F.col("place"))), ["_draw", "place"], "_turn")
-    share = F.lit(missing // size) + (F.col("_turn") < missing % size).cast("long")
-    givers = placed.join(near, "place").join(drawn.withColumn("_share", share).filter("_share > 0"), "place")
-    copies = givers.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share"))))
-    pick = F.floor(uniform(seed + 1, F.col("place"), F.col("_copy")) * F.size("nearest")).cast("int")
-    step = uniform(seed + 2, F.col("place"), F.col("_copy"))
-    toward = F.get("nearest", pick)["x"]
-    mixed = F.zip_with("x", toward, lambda a, b: a + step * (b - a))
-    made = copies.withColumn("_new", mixed).select(
-        *[F.get("_new", F.lit(i)).alias(c) for i, c in enumerate(inputs)], F.lit(rare).alias(target)
-    )
-    return data.unionByName(made)
+    minority = data.filter(F.col(target) == rare).select(F.array(*[F.col(c).cast("double") for c in inputs]).alias("x"))
+    made = made_rows(minority, missing, k, seed, block_rows)
+    return data.unionByName(made.select(*[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(inputs)], F.lit(rare).alias(target)))

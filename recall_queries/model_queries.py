@@ -12,6 +12,7 @@ from recall_queries.registry import query
 from recall_queries.views import LEARNER, TRIES_SQL, marked_session_tries, tries, vocab
 from recall_engine.operators import datasets, history, oversampling, prep, reports
 from recall_engine.plans import models, next_session, search
+from recall_engine.schemas import FEATURES, IMPUTE
 from recall_engine.staging import new_path, stage
 
 ID = "id_historical_data"
@@ -40,6 +41,21 @@ def numbers(spark, sf):
     return rows.fillna(0.0)
 
 
+#: Every input of a model as a number: unknown is the stand-in of the catalogue, or 0; a language is 1 for German.
+INPUTS = [*FEATURES.numerical, *FEATURES.diff_time, *FEATURES.boolean, *FEATURES.categorical]
+
+
+def model_inputs(spark, sf):
+    rows = dataset_queries.training_set(spark, sf)
+    number = lambda c: F.col(c) == "german" if c in FEATURES.categorical else F.col(c)
+    return rows.select(*[F.coalesce(number(c).cast("double"), F.lit(IMPUTE.get(c, 0.0))).alias(c) for c in INPUTS], "result")
+
+
+def _number_sql(c: str) -> str:
+    value = f"{c} = 'german'" if c in FEATURES.categorical else c
+    return f"coalesce(CAST({value} AS DOUBLE), {IMPUTE.get(c, 0.0)})"
+
+
 PRIOR_SQL = f"""WITH {TRIES_SQL} SELECT id_historical_data, round((SELECT avg(result) FROM fx_tries), 6) AS y_proba,
   CASE WHEN (SELECT avg(result) FROM fx_tries) > 0.5 THEN 1.0E0 ELSE 0.0E0 END AS y_pred FROM fx_tries"""
 
@@ -157,13 +173,62 @@ def p8(spark, sf):
     return spark.createDataFrame(ranking, "feature STRING, rank INT")
 
 
+def _draw_sql(seed: int, *ids: str) -> str:
+    text = " || ':' || ".join([f"'{seed}'", *[f"{i}::VARCHAR" for i in ids]])
+    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0E0"
+
+
+#: Distinct minority points, all pairs of them, and the neighbours of a point: its other copies, then others by distance.
+SMOTE_SQL = f"""{dataset_queries.D3_SQL}, fx_rows AS (
+    SELECT result, [{', '.join(map(_number_sql, INPUTS))}] AS x FROM fx_features JOIN fx_vocab_features USING (id_vocab)
+), fx_sizes AS (
+    SELECT result, count(*) AS n FROM fx_rows GROUP BY 1
+), fx_minority AS (
+    SELECT x, count(*) AS copies, row_number() OVER (ORDER BY x) - 1 AS place
+    FROM fx_rows WHERE result = (SELECT arg_min(result, n) FROM fx_sizes) GROUP BY x
+), fx_missing AS (
+    SELECT max(n) - min(n) AS missing, min(n) AS n FROM fx_sizes
+), fx_givers AS (
+    SELECT place, x, copies, r AS row, missing // n + CASE WHEN row_number() OVER (ORDER BY {_draw_sql(0, 'place', 'r')}, place, r) <= missing % n THEN 1 ELSE 0 END AS share
+    FROM (SELECT *, unnest(range(1, copies + 1)) AS r FROM fx_minority), fx_missing
+), fx_others AS (
+    SELECT a.place, b.place AS near, b.x AS near_x, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS square,
+           CASE WHEN a.place = b.place THEN b.copies - 1 ELSE b.copies END AS copies
+    FROM fx_minority a, fx_minority b WHERE a.place IN (SELECT place FROM fx_givers WHERE share > 0)
+), fx_ranked AS (
+    SELECT *, sum(copies) OVER (PARTITION BY place ORDER BY square, near) AS upto FROM fx_others WHERE copies > 0
+), fx_made AS (
+    SELECT g.place, g.row, c AS copy, g.x AS from_x, floor({_draw_sql(1, 'g.place', 'g.row', 'c')} * least(5, m.n - 1)) AS pick, {_draw_sql(2, 'g.place', 'g.row', 'c')} AS step
+    FROM (SELECT *, unnest(range(1, share + 1)) AS c FROM fx_givers WHERE share > 0) g, fx_missing m
+)"""
+
+
 @query(
     "p9_smote",
+    f"""WITH {SMOTE_SQL} SELECT m.place, m.row, m.copy, r.near, round(m.step, 6) AS step, round(sqrt(r.square), 6) AS distance,
+      round(list_sum(list_transform(list_zip(m.from_x, r.near_x), lambda p: p[1] + m.step * (p[2] - p[1]))), 4) AS total
+    FROM fx_made m JOIN fx_ranked r ON r.place = m.place AND m.pick < r.upto AND m.pick >= r.upto - r.copies""",
+)
+def p9(spark, sf):
+    """Every made row: whose it is, toward which of the exact five nearest neighbours, how far, and the sum of its 38 values."""
+    rows = stage(model_inputs(spark, sf), "inputs")
+    sizes = {r.result: r.n for r in rows.groupBy("result").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rare = min(sizes, key=sizes.get)
+    minority = rows.filter(F.col("result") == rare).select(F.array(*INPUTS).alias("x"))
+    made = oversampling.made_rows(minority, max(sizes.values()) - sizes[rare])
+    square = F.aggregate(F.zip_with("from_x", "near_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    total = F.round(F.aggregate("x", F.lit(0.0), lambda t, v: t + v), 4)
+    return made.select("place", "row", "copy", "near", "step", F.sqrt(square).alias("distance"), total.alias("total"))
+
+
+@query(
+    "p9_smote_balance",
     f"""WITH {TRIES_SQL}, n AS (SELECT result, count(*) AS n FROM fx_tries GROUP BY 1)
     SELECT result AS label, (SELECT max(n) FROM n) AS n FROM n""",
 )
-def p9(spark, sf):
-    return oversampling.smote(numbers(spark, sf), NUMBERS, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def p9_balance(spark, sf):
+    done = oversampling.smote(model_inputs(spark, sf), INPUTS, "result")
+    return done.groupBy(F.col("result").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("d6_score_next_session")

@@ -136,21 +136,73 @@ def test_components_and_explained_variance(spark, points):
     assert ratio["component_01"] == pytest.approx(values[0] / values.sum())
 
 
-@pytest.mark.parametrize("block", [7, 64, 5000])
-def test_neighbours_are_exact(points, block):
-    x, _, df = points
-    direction = np.array([0.6, 0.8, 0.0])
-    along = sum(F.col(c) * float(d) for c, d in zip("abc", direction))
-    placed = dense_id(df.select(F.array("a", "b", "c").alias("x"), along.alias("along")), ["along", "x"], "place")
-    placed = stage(placed, "points")
-    got = {r.place: [n.distance for n in r.nearest] for r in oversampling.nearest_neighbours(placed, 5, block).collect()}
-    assert len(got) == len(x)
-    order = {r.place: np.array(r.x) for r in placed.collect()}
-    matrix = np.array([order[i] for i in range(len(x))])
-    full = np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(-1))
+def brute_neighbours(x, k):
+    """Per point the (square, place) of the k closest others; ties by place."""
+    full = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(full, np.inf)
-    want = np.sort(full, axis=1)[:, :5]
-    assert np.array([got[i] for i in range(len(x))]) == pytest.approx(want)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), full.shape), full), axis=1)[:, :k]
+    return [[(full[i, j], j) for j in row if np.isfinite(full[i, j])] for i, row in enumerate(order)]
+
+
+def as_points(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "place long, x array<double>, copies long")
+
+
+@pytest.mark.parametrize("block", [8, 64, 1_000])
+@pytest.mark.parametrize("kind", ["spread", "grid", "line", "lumps"])
+def test_neighbours_are_exact(spark, kind, block):
+    draw = np.random.default_rng(5)
+    x = {
+        "spread": lambda: draw.normal(size=(220, 5)) * [9, 4, 2, 1, 1],
+        "grid": lambda: np.unique(draw.integers(0, 5, (400, 3)), axis=0).astype(float),
+        "line": lambda: np.arange(200.0)[:, None] ** 2,
+        "lumps": lambda: np.unique(draw.integers(0, 40, (260, 1)) * 1000 + draw.integers(0, 9, (260, 20)), axis=0).astype(float),
+    }[kind]()
+    draw.shuffle(x)
+    got = {r.place: [(n.square, n.near) for n in r.nearest] for r in oversampling.nearest_neighbours(as_points(spark, x), 5, block).collect()}
+    want = brute_neighbours(x, 5)
+    assert len(got) == len(x)
+    for i, found in enumerate(want):
+        assert [s for s, _ in got[i]] == pytest.approx([s for s, _ in found])
+        if kind != "spread":  # whole numbers have exact ties
+            assert got[i] == found
+
+
+def test_only_seekers_search_and_few_points_have_fewer(spark):
+    x = np.arange(4.0)[:, None]
+    points = as_points(spark, x)
+    got = oversampling.nearest_neighbours(points, 5, 2, points.filter("place = 1")).collect()
+    assert [(r.place, [n.near for n in r.nearest]) for r in got] == [(1, [0, 2, 3])]
+
+
+def test_boxes_prune_block_pairs_of_real_inputs(spark):
+    """At 38 inputs a search visits less than a fifth of all pairs of blocks."""
+    from recall_queries.model_queries import INPUTS, model_inputs
+
+    rows = model_inputs(spark, "/root/testdata/sf0.01").filter("result = 0").select(F.array(*INPUTS).alias("x"))
+    points = dense_id(rows.groupBy("x").agg(F.count("*").alias("copies")), ["x"], "place")
+    visits, blocked, _ = oversampling._search(stage(points, "points"), 5, 64, None)
+    blocks = blocked.select("block").distinct().count()
+    assert len(INPUTS) == 38 and blocks > 40
+    assert visits.select("home", "other").distinct().count() < 0.2 * blocks * (blocks - 1)
+
+
+def test_made_rows_lie_between_a_row_and_a_near_one(spark):
+    """Copies count as neighbours at no distance; every row gives as often as any other, but for one."""
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 6, (60, 2)).astype(float)
+    x[:9] = [100.0, 100.0]  # more copies than neighbours
+    minority = spark.createDataFrame([([float(a), float(b)],) for a, b in x], "x array<double>")
+    made = oversampling.made_rows(minority, 150, 5, 3, block_rows=16).collect()
+    assert len(made) == 150
+    given = {}
+    for r in made:
+        given[r.place, r.row] = given.get((r.place, r.row), 0) + 1
+        others = sorted(((np.array(r.from_x) - y) ** 2).sum() for y in x)[1:]  # one of them is the row itself
+        assert ((np.array(r.from_x) - r.near_x) ** 2).sum() <= others[4]
+        assert r.x == pytest.approx([a + r.step * (b - a) for a, b in zip(r.from_x, r.near_x, strict=True)]) and 0 <= r.step < 1
+        assert r.from_x != [100.0, 100.0] or r.x == [100.0, 100.0]
+    assert sorted(set(given.values())) == [2, 3] and len(given) == 60 and sum(v == 3 for v in given.values()) == 30
 
 
 def test_smote_balances_between_neighbours(points):
@@ -158,11 +210,6 @@ def test_smote_balances_between_neighbours(points):
     done = oversampling.smote(df, ["a", "b", "c"], "label", block_rows=16)
     counts = {r.label: r["count"] for r in done.groupBy("label").count().collect()}
     assert counts[0.0] == counts[1.0] == max((label == 0).sum(), (label == 1).sum())
-    rare = 1.0 if (label == 1).sum() < (label == 0).sum() else 0.0
-    known = x[label == rare]
-    made = done.exceptAll(df.select("a", "b", "c", "label")).collect()
-    low, high = known.min(0), known.max(0)
-    assert all((np.array(r[:3]) >= low - 1e-9).all() and (np.array(r[:3]) <= high + 1e-9).all() for r in made)
     assert sorted(map(str, done.collect())) == sorted(map(str, oversampling.smote(df, ["a", "b", "c"], "label", block_rows=16).collect()))
 
 
