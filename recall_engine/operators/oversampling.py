@@ -5,7 +5,7 @@ The neighbours are exact. Equal rows are merged into one point first; what a poi
 quantile cuts over their principal components, always over the component that is spread the widest. A point finds the
 bound of its k-th distance in its own cell. Then cells go down the tree of boxes (in component space, where no distance is
 longer than in full) and keep what lies closer than their farthest bound; at the leaves each point is held against
-the box itself. Each pair of cells that is left is one bounded task that returns at most k points per visitor.
+the box itself. The closest few blocks are visited first and tighten the bound for the others. Each pair of cells that is left is one bounded task that returns at most k points per visitor.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from recall_engine.staging import stage
 BLOCK_ROWS = 1_024
 #: Children of a tree node, and principal components that boxes have at most.
 FAN, COMPONENTS = 4, 16
+#: Blocks that a point visits before its bound is taken anew.
+FIRST = 8
 #: Points of a cell that no component tells apart are dealt to at most so many blocks.
 _PARTS = 1 << 20
 PAIR_SCHEMA = "place LONG, near LONG, square DOUBLE, copies LONG, x ARRAY<DOUBLE>"
@@ -107,17 +109,30 @@ def nearest_neighbours(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
     ``points`` has a unique ``place``, ``x`` (array of doubles, all different) and ``copies``, which is handed on.
     ``seekers`` names the places that search; all, if it is not given.
     """
-    visits, blocked, own = _search(points, k, block_rows, seekers)
+    visits, blocked, found = _search(points, k, block_rows, seekers)
+    return _best(_flat(found).unionByName(_visited(visits, blocked, k)), k)
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("place", F.inline("nearest")).select("place", "near", "square", "copies", "x")
+
+
+def _visited(visits: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
+    """What the visitors find in the blocks they visit, at most k points for each pair of home and block."""
     wanted = visits.select(F.col("home").alias("visitor"), F.col("other").alias("block")).distinct()
     hosts = blocked.select("place", "x", "copies", "block").join(wanted, "block")
     closest = lambda visitors, rows: _closest(visitors, rows, k)
-    away = visits.groupBy("home", "other").cogroup(hosts.groupBy("visitor", "block")).applyInPandas(closest, PAIR_SCHEMA)
-    home = own.select("place", F.inline("nearest")).select("place", "near", "square", "copies", "x")
-    return _best(home.unionByName(away), k)
+    return visits.groupBy("home", "other").cogroup(hosts.groupBy("visitor", "block")).applyInPandas(closest, PAIR_SCHEMA)
+
+
+def _reach(found: DataFrame, k: int) -> DataFrame:
+    """``place`` and the squared bound of its k-th distance. The margin covers rounding in the components."""
+    farthest = F.get("nearest", F.lit(k - 1))["square"]
+    return found.select("place", (farthest * (1 + 1e-9) + 1e-9).alias("reach"))
 
 
 def _search(points: DataFrame, k: int, block_rows: int, seekers: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Who visits which block besides the own one, the points with their block, and what the own block gave."""
+    """Who still visits which block, the points with their block, and what the own block and the ``FIRST`` closest gave."""
     points, spreads = _components(stage(points.select("place", "x", "copies"), "points"))
     width = len(spreads)
     count = points.count()
@@ -131,10 +146,8 @@ def _search(points: DataFrame, k: int, block_rows: int, seekers: DataFrame | Non
 
     inside = searching.groupBy("home").cogroup(blocked.select("place", "x", "copies", "block").groupBy("block"))
     own = stage(_best(inside.applyInPandas(lambda mine, rows: _closest(mine, rows, k), PAIR_SCHEMA), k), "own-block")
-    farthest = F.get("nearest", F.lit(k - 1))["square"]
-    # Fewer than k points in the block bound nothing. The margin covers rounding in the components.
-    reach = F.coalesce(farthest * (1 + 1e-9) + 1e-9, F.lit(float("inf")))
-    bounded = searching.join(own.select("place", reach.alias("reach")), "place", "left").fillna(float("inf"), subset=["reach"])
+    # Fewer than k points in the block bound nothing.
+    bounded = searching.join(_reach(own, k), "place", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     bounded = stage(bounded, "bounded")
 
     leaves = stage(_box(blocked, ["cell", "block"], width), "boxes")
@@ -150,8 +163,14 @@ def _search(points: DataFrame, k: int, block_rows: int, seekers: DataFrame | Non
     pairs = front.join(leaves.withColumnRenamed("cell", "node"), "node").filter((near <= F.col("reach")) & (F.col("home") != F.col("block")))
     pairs = stage(pairs.select("home", F.col("block").alias("other"), *edges), "pairs")
     held = sum((_apart(F.get("c", F.lit(i)), F.get("c", F.lit(i)), F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(width)), F.lit(0.0))
-    visits = bounded.join(pairs, "home").filter(held <= F.col("reach")).select("place", "x", "home", "other")
-    return stage(visits, "visits"), blocked, own
+    visits = bounded.join(pairs, "home").withColumn("apart", held).filter(F.col("apart") <= F.col("reach"))
+    closest = F.row_number().over(Window.partitionBy("place").orderBy("apart", "other"))
+    visits = stage(visits.select("place", "x", "home", "other", "apart", closest.alias("turn")), "visits")
+    first = _visited(visits.filter(F.col("turn") <= FIRST).select("place", "x", "home", "other"), blocked, k)
+    found = stage(_best(_flat(own).unionByName(first), k), "closest-blocks")
+    rest = visits.filter(F.col("turn") > FIRST).join(_reach(found, k), "place", "left")
+    rest = rest.filter(F.col("apart") <= F.coalesce("reach", F.lit(float("inf"))))
+    return stage(rest.select("place", "x", "home", "other"), "visits"), blocked, found
 
 
 def made_rows(minority: DataFrame, missing: int, k: int = 5, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
