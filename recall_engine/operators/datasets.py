@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.operators import history
 from recall_engine.operators.global_order import dense_id
+from recall_engine.operators.word_state import next_session_from_state, word_state
 from recall_engine.schemas import FEATURES, LANGUAGES, FeatureSpec
 
 
@@ -111,56 +112,12 @@ def next_session_by_union(
 def next_session_features(
     tries: DataFrame, future: DataFrame, partition_by: Sequence[str] = (), semantics: str = "reference"
 ) -> DataFrame:
-    """Features of future rows from one aggregate per word: counts, first day and last try.
+    """Features of future rows from one aggregate per word and direction: counts, first day and last try.
 
-    The history is read once and pre-aggregated before its only shuffle, so a hot word is no problem.
-    ``future`` comes from :func:`future_tries`.
+    The history is read once and pre-aggregated before its only shuffle, so a hot word is no problem. Where the state is
+    kept up to date (``word_state.StateLog``), ``next_session_from_state`` needs no history at all.
     """
-    faithful = history._check_semantics(semantics)
-    keys = [*partition_by, "id_vocab"]
-    past = history.same_try_features(history.with_known_keys(tries))
-    row, day = F.col(history.ORDER), F.col("day")
-    own = F.struct(day.alias("day"), *[history.carried_value(n).alias(n) for n in history.CARRIED_SAME_LANGUAGE])
-    parts = [
-        F.count(F.lit(1)).alias("_n_any"),
-        F.min("day").alias("_first_any"),
-        F.max_by(F.struct("day", "language_asked"), row).alias("_last_any"),
-        F.max_by(day, F.when(F.col("result") == 1, row)).alias("_success_any"),
-    ]
-    for language in LANGUAGES:
-        mine = F.col("language_asked") == language
-        parts += [
-            F.count_if(mine).alias(f"_n_{language}"),
-            F.min(F.when(mine, day)).alias(f"_first_{language}"),
-            F.max_by(own, F.when(mine, row)).alias(f"_last_{language}"),
-            F.max_by(day, F.when(mine & (F.col("result") == 1), row)).alias(f"_success_{language}"),
-        ]
-    known = past.groupBy(*keys).agg(*parts)
-    joined = future.join(known, keys, "left")
-
-    def of_direction(name: str) -> Column:
-        return F.when(F.col("language_asked") == "german", F.col(f"_{name}_german")).otherwise(
-            F.col(f"_{name}_english")
-        )
-
-    today = F.col("day")
-    picked = joined.withColumns({f"_{n}_same": of_direction(n) for n in ("n", "first", "last", "success")})
-    columns: dict[str, Column] = {}
-    for scope, short in (("same_language", "same"), ("any_language", "any")):
-        last_day = F.col(f"_last_{short}.day")
-        first_day = F.least(F.col(f"_first_{short}"), today)
-        success = F.lit(None).cast("int") if faithful else F.date_diff(today, F.col(f"_success_{short}"))
-        columns[f"past_occurrences_{scope}"] = F.coalesce(F.col(f"_n_{short}"), F.lit(0))
-        columns[f"days_since_last_occurrence_{scope}"] = F.date_diff(today, last_day)
-        columns[f"days_since_last_success_{scope}"] = success
-        columns[f"days_since_first_occur_{scope}"] = F.when(
-            last_day.isNotNull(), F.date_diff(last_day if faithful else today, first_day)
-        )
-    for name in history.CARRIED_SAME_LANGUAGE:
-        columns[f"previous_{name}"] = F.col(f"_last_same.{name}")
-    columns["previous_language_asked"] = F.col("_last_any.language_asked")
-    done = history.calendar(history.successes_and_fails(picked.withColumns(columns)))
-    return done.drop(*[c for c in done.columns if c.startswith("_")])
+    return next_session_from_state(word_state(tries, partition_by), future, partition_by, semantics)
 
 
 def probabilities_by_word(scored: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from recall_engine.functions.times import TRY_TIME
 from recall_engine.operators import history
 from recall_engine.operators.global_order import dense_id
 from recall_engine.operators.vocabulary import LIST_POINTS
-from recall_engine.staging import new_path
+from recall_engine.sources.versions import current, point_to
 
 CSV_OPTIONS = {
     "header": "true",
@@ -125,18 +125,25 @@ def finish_vocab(vocab: DataFrame, path: str) -> None:
     write_csv(vocab.drop("english_proba", "german_proba"), path)
 
 
-def publish(predictions: DataFrame, published: str, versions: str | None = None) -> str:
-    """Write predictions as a new version, then replace the published table by it.
+def publish(predictions: DataFrame, published: str) -> str:
+    """Write predictions as a new version below ``published``, then let its manifest name it. Returns the path of the version.
 
-    The version is complete before the published table is touched. Returns the path of the version.
+    A reader during or after a failed write sees the version before.
     """
-    spark = predictions.sparkSession
-    version = f"{versions.rstrip('/')}/{_stamp()}" if versions else new_path(spark, "predictions")
-    predictions.write.mode("errorifexists").parquet(version)
-    write_csv(spark.read.schema(predictions.schema).parquet(version), published)
+    version = f"{published.rstrip('/')}/version={_stamp()}"
+    write_csv(predictions, version)
+    point_to(predictions.sparkSession, published, version)
     return version
 
 
+def read_published(spark: SparkSession, published: str) -> DataFrame:
+    """The predictions that were published last."""
+    version = current(spark, published)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {published}")
+    return read_predictions(spark, version)
+
+
 def _stamp() -> str:
     import datetime
 

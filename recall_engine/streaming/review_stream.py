@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recall_engine.operators import review
+from recall_engine.sources.versions import FoldedLog
 from recall_engine.staging import new_path
 
 SESSION_GAP = "12 hours"
@@ -53,6 +55,37 @@ def session_progress(tries: DataFrame, partition_by: Sequence[str], gap: str = S
     )
 
 
+def log_sessions(tries: DataFrame, partition_by: Sequence[str] = (), gap: str = SESSION_GAP) -> DataFrame:
+    """The rows of :func:`session_progress` over a whole log, whatever share of it one learner has.
+
+    Tries inside one tumbling window as wide as the gap belong together, so partial sessions are a plain aggregation by learner
+    and window, combined before its shuffle. They are joined at their edges: a session goes on where the next partial one
+    begins no more than the gap after the last try. That window sees one row per learner and gap of time, not tries.
+    """
+    keys, time = list(partition_by), F.col("datetime")
+    parts = tries.groupBy(*keys, F.window(time, gap).alias("_window")).agg(
+        F.min(time).alias("_first"),
+        F.max(time).alias("_last"),
+        F.count(F.lit(1)).alias("_tries"),
+        F.count_if(F.col("result") == 1).alias("_known"),
+    )
+    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_first")
+    opens = F.coalesce(F.col("_first") - F.lag("_last").over(ordered) > F.expr(f"INTERVAL '{gap}'"), F.lit(False))
+    numbered = parts.withColumn("_opens", opens.cast("long"))
+    session = F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        numbered.withColumn("_session", session)
+        .groupBy(*keys, "_session")
+        .agg(
+            F.min("_first").alias("start"),
+            (F.max("_last") + F.expr(f"INTERVAL '{gap}'")).alias("end"),
+            F.sum("_tries").alias("tries"),
+            F.sum("_known").alias("known_words"),
+        )
+        .drop("_session")
+    )
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process all that is available and append it to a parquet table, exactly once."""
     return (
@@ -65,39 +98,35 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-class VocabVersions:
-    """A vocabulary table that micro-batches of tries update: one parquet version per batch.
+def _sum_changes(changes: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in changes.columns if c.startswith("_change_")]
+    return changes.groupBy(*partition_by, "id_vocab").agg(*sums)
 
-    Batch ``n`` always reads version ``n - 1`` and writes version ``n``, so a batch that runs again after
-    a failure gives the same table and counts no try twice. Create the table once; a restarted stream opens it.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
-        self.spark, self.schema, self.folder = spark, schema, folder.rstrip("/")
+class VocabLog:
+    """A vocabulary that micro-batches of tries update: each writes its score changes, keyed by learner and word.
 
-    @classmethod
-    def create(cls, vocab: DataFrame, folder: str) -> VocabVersions:
-        versions = cls(vocab.sparkSession, folder, vocab.schema)
-        vocab.write.mode("errorifexists").parquet(versions._path(-1))
-        return versions
+    The vocabulary itself is never rewritten. Changes are folded at intervals; reading adds them up and joins them
+    to the words. A batch that runs again after a failure counts no try twice. A restarted stream opens the same folder.
+    """
 
-    def _path(self, batch: int) -> str:
-        return f"{self.folder}/version={batch}"
+    def __init__(self, vocab: DataFrame, folder: str, partition_by: Sequence[str] = (), every: int = 16):
+        self.vocab, self.partition_by = vocab, list(partition_by)
+        keys = [vocab.schema[k] for k in (*self.partition_by, "id_vocab")]
+        changes = [StructField(f"_change_{pair}", LongType()) for pair in ("german_english", "english_german")]
+        merge = partial(_sum_changes, partition_by=self.partition_by)
+        self._log = FoldedLog(vocab.sparkSession, folder, StructType(keys + changes), merge, every)
 
-    def at(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._path(batch))
+    def update(self, tries: DataFrame, batch: int) -> None:
+        self._log.append(review.score_changes(review.check_answer(tries), self.partition_by), batch)
 
     def latest(self) -> DataFrame:
-        """The newest version; read it while no batch is being written."""
-        newest = self.spark.read.parquet(self.folder).agg(F.max("version")).first()[0]
-        return self.at(newest)
-
-    def upsert(self, tries: DataFrame, batch: int) -> None:
-        review.update_vocab(self.at(batch - 1), tries).write.mode("overwrite").parquet(self._path(batch))
+        """The words with all changes so far."""
+        return review.apply_changes(self.vocab, self._log.read(), self.partition_by)
 
     def run(self, tries: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
-            tries.writeStream.foreachBatch(self.upsert)
+            tries.writeStream.foreachBatch(self.update)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -141,8 +141,10 @@ def s8(spark, sf):
 )
 def s10(spark, sf):
     published = new_path(spark, "published")
-    files.publish(vocab_queries.predictions(spark, sf), published)
-    return files.read_predictions(spark, published)
+    predictions = vocab_queries.predictions(spark, sf)
+    files.publish(predictions.withColumn("english_proba", F.lit(0.5)), published)  # an older version
+    files.publish(predictions, published)
+    return files.read_published(spark, published)
 
 
 # --- streams ----------------------------------------------------------------------------------------
@@ -181,9 +183,20 @@ def r1(spark, sf):
 )
 def r2_stream(spark, sf):
     folder = new_path(spark, "vocab")
-    versions = review_stream.VocabVersions.create(review.start_session(vocab(spark, sf)), folder)
-    versions.run(try_stream(spark, sf), f"{folder}-progress").awaitTermination()
-    return versions.latest().drop("german", "english")
+    log = review_stream.VocabLog(review.start_session(vocab(spark, sf)), folder)
+    log.run(try_stream(spark, sf), f"{folder}-progress").awaitTermination()
+    return log.latest().drop("german", "english")
+
+
+@query("r2_update_vocab_stream_per_learner", vocab_queries.R2_LEARNER_SQL)
+def r2_stream_per_learner(spark, sf):
+    """Five micro-batches of one log, one of them twice, with folds between; a try counts for its learner alone."""
+    words, tried = vocab_queries.learner_words(spark, sf), tries(spark, sf)
+    log = review_stream.VocabLog(words, new_path(spark, "vocab"), LEARNER, every=2)
+    for batch in (0, 1, 2, 2, 3, 4):
+        log.update(tried.filter(F.col(ID) % 5 == batch), batch)
+    columns = ["score_german_english", "score_english_german", "try_session_german_english", "try_session_english_german"]
+    return log.latest().select(*LEARNER, "id_vocab", *columns)
 
 
 PROGRESS_SQL = f"""{TRIES_SQL}, g AS (
@@ -197,12 +210,12 @@ PROGRESS_SQL = f"""{TRIES_SQL}, g AS (
 
 @query("r3_session_windows", f'WITH {PROGRESS_SQL} SELECT learner_id, start, "end", tries FROM fx_progress')
 def r3(spark, sf):
-    return review_stream.session_progress(tries(spark, sf), LEARNER).drop("known_words")
+    return review_stream.log_sessions(tries(spark, sf), LEARNER).drop("known_words")
 
 
 @query("r4_session_progress", f"WITH {PROGRESS_SQL} SELECT learner_id, start, tries, known_words FROM fx_progress")
 def r4(spark, sf):
-    return review_stream.session_progress(tries(spark, sf), LEARNER).drop("end")
+    return review_stream.log_sessions(tries(spark, sf), LEARNER).drop("end")
 
 
 @query(

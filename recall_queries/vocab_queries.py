@@ -418,17 +418,17 @@ def k4(spark, sf):
     return words.select("id_vocab", *[(F.col(f"softmax_{b}") * 1000).alias(f"softmax_{b}") for b in factors])
 
 
-@query(
-    "r2_update_vocab_per_learner",
-    f"""WITH {LEARNER_SQL}, c AS (SELECT learner_id, id_vocab,
+R2_LEARNER_SQL = f"""WITH {LEARNER_SQL}, c AS (SELECT learner_id, id_vocab,
         sum(CASE WHEN language_asked = 'english' THEN 2 * result - 1 END) AS ge, sum(CASE WHEN language_asked = 'german' THEN 2 * result - 1 END) AS eg
       FROM fx_tries GROUP BY 1, 2)
     SELECT learner_id, id_vocab, CAST(score_german_english + coalesce(ge, 0) AS BIGINT) AS score_german_english,
       CAST(score_english_german + coalesce(eg, 0) AS BIGINT) AS score_english_german,
       try_session_german_english OR ge IS NOT NULL AS try_session_german_english,
       try_session_english_german OR eg IS NOT NULL AS try_session_english_german
-    FROM fx_words LEFT JOIN c USING (learner_id, id_vocab)""",
-)
+    FROM fx_words LEFT JOIN c USING (learner_id, id_vocab)"""
+
+
+@query("r2_update_vocab_per_learner", R2_LEARNER_SQL)
 def r2_per_learner(spark, sf):
     return review.update_vocab(learner_words(spark, sf), tries(spark, sf), LEARNER)
 

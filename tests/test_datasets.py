@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from recall_queries import views
 from recall_engine.operators import datasets, prep
+from recall_engine.operators import word_state
 from recall_engine.schemas import FEATURES
+from recall_engine.staging import stage
 
 ID = "id_historical_data"
 
@@ -30,6 +32,27 @@ def test_next_session_equals_the_long_way(spark, sf_dir, semantics, keys):
     assert a.exceptAll(b).isEmpty()
 
 
+@pytest.mark.parametrize("keys", [[], ["learner_id"]])
+def test_appended_state_is_the_state_of_the_whole_history(spark, sf_dir, tmp_path, keys):
+    """Whatever the order of the parts; a batch again, a fold between and a restart change nothing."""
+    log = stage(views.session_tries(spark, sf_dir, keys), "log")
+    part = F.pmod(F.xxhash64(ID), F.lit(5))
+    for batch in (0, 1, 1, 2, 3, 2, 4):
+        word_state.StateLog.of(log, str(tmp_path / "state"), keys, every=2).append(log.filter(part == batch), batch)
+    kept = word_state.StateLog.of(log, str(tmp_path / "state"), keys).read()
+    whole = word_state.word_state(log, keys)
+    assert kept.columns == whole.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_the_next_session_needs_no_sort_aggregate(spark, sf_dir):
+    log = views.session_tries(spark, sf_dir, [])
+    now = F.lit("2024-03-01 10:00:00").cast("timestamp_ntz")
+    future = datasets.future_tries(views.vocab(spark, sf_dir), datasets.last_ids(log), now)
+    plan = datasets.next_session_features(log, future)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and plan.count("HashAggregate") > 2
+
+
 def test_future_rows_are_numbered_in_vocabulary_order(spark, sf_dir):
     log = views.session_tries(spark, sf_dir, [])
     last = datasets.last_ids(log).first()

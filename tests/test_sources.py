@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from recall_engine.sources import files
+from recall_engine.sources import files, versions
 
 HEADER = (
     "id_vocab,german_word,english_word,score_before,score_before_other_language,language_asked,result,guess,"
@@ -87,7 +87,7 @@ def test_log_lines(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, "first"), (1, "second"), (2, "third")]
 
 
-def test_append_and_publish(spark, tmp_path):
+def test_append(spark, tmp_path):
     path = str(tmp_path / "history")
     df = spark.range(3).select(F.col("id").alias("id_vocab"), (F.col("id") / 4).alias("english_proba"), F.lit(0.5).alias("german_proba"))
     files.append_tries(df, path)
@@ -95,10 +95,45 @@ def test_append_and_publish(spark, tmp_path):
     files.append_tries(df, path)
     assert before < {f.name for f in (tmp_path / "history").glob("*.parquet")}
     assert spark.read.parquet(path).count() == 6
-    for _ in range(2):
-        files.publish(df, str(tmp_path / "published"), str(tmp_path / "versions"))
-    assert len(list((tmp_path / "versions").iterdir())) == 2
-    assert sorted(files.read_predictions(spark, str(tmp_path / "published")).collect()) == sorted(df.collect())
+
+
+def test_readers_see_a_complete_version(spark, tmp_path):
+    """Also while a version is being written, and after a write that failed."""
+    published = str(tmp_path / "published")
+    df = spark.range(3).select(F.col("id").alias("id_vocab"), (F.col("id") / 4).alias("english_proba"), F.lit(0.5).alias("german_proba"))
+    with pytest.raises(FileNotFoundError):
+        files.read_published(spark, published)
+    files.publish(df, published)
+    first = files.read_published(spark, published)
+    broken = df.withColumn("english_proba", F.when(F.col("id_vocab") == 2, F.raise_error(F.lit("lost"))).otherwise(0.1).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        files.publish(broken, published)
+    assert sorted(files.read_published(spark, published).collect()) == sorted(df.collect())
+    files.publish(df.withColumn("german_proba", F.lit(0.75)), published)
+    assert {r.german_proba for r in files.read_published(spark, published).collect()} == {0.75}
+    assert sorted(first.collect()) == sorted(df.collect())  # a reader of the version before keeps it
+
+
+def test_folded_log_merges_replays_and_forgets(spark, tmp_path):
+    merge = lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v"))
+    schema = spark.createDataFrame([], "k long, v long").schema
+    open_log = lambda: versions.FoldedLog(spark, str(tmp_path / "log"), schema, merge, every=3)
+    total = lambda: {r.k: r.v for r in open_log().read().collect()}
+    delta = lambda n: spark.createDataFrame([(0, n), (n, 1)], schema)
+    assert total() == {}
+    for n in range(1, 8):
+        open_log().append(delta(n), n)
+        if n in (2, 3, 7):  # again: while a delta, at a fold, after it
+            open_log().append(delta(n), n)
+    want = {0: 28} | {n: 1 for n in range(1, 8)}
+    assert total() == want and versions.current(spark, str(tmp_path / "log")).endswith("upto=6")
+    (tmp_path / "log" / "delta" / "batch=8").mkdir()  # a write that never ended
+    (tmp_path / "log" / "base" / "upto=9").mkdir()
+    open_log().append(delta(5), 5)
+    assert total() == want
+    open_log().drop_folded()
+    assert total() == want
+    assert sorted(p.name for p in (tmp_path / "log" / "delta").iterdir()) == ["batch=7", "batch=8"]
 
 
 def test_finish_vocab_drops_probabilities(spark, tmp_path):

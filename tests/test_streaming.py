@@ -25,15 +25,37 @@ def test_micro_batches_update_the_vocabulary_once(spark, sf_dir, tmp_path):
     source = tmp_path / "in"
     words = review.start_session(views.vocab(spark, sf_dir))
     folder = str(tmp_path / "vocab")
-    review_stream.VocabVersions.create(words, folder)
-    schema = log.schema
     for n in range(3):
         log.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(str(source))
-        versions = review_stream.VocabVersions(spark, folder, words.schema)  # as after a restart
-        stream = spark.readStream.schema(schema).parquet(str(source))
-        versions.run(stream, str(tmp_path / "progress")).awaitTermination()
-    versions.upsert(log.filter("n = 2"), 2)  # the last batch again, as after a failure
-    assert rows(versions.latest()) == rows(review.update_vocab(words, log).select(words.columns))
+        kept = review_stream.VocabLog(words, folder, every=2)  # as after a restart
+        stream = spark.readStream.schema(log.schema).parquet(str(source))
+        kept.run(stream, str(tmp_path / "progress")).awaitTermination()
+    before = {p.name for p in (tmp_path / "vocab").rglob("*.parquet")}
+    for n in range(3):  # all batches again, as after a failure
+        kept.update(log.filter(F.col("n") == n), n)
+    assert len(before) > 0 and not (tmp_path / "vocab" / "version=0").exists()
+    assert rows(kept.latest()) == rows(review.update_vocab(words, log).select(words.columns))
+
+
+def test_a_try_counts_for_its_learner(spark, sf_dir, tmp_path):
+    log, words = views.tries(spark, sf_dir), vocab_queries.learner_words(spark, sf_dir)
+    kept = review_stream.VocabLog(words, str(tmp_path / "vocab"), views.LEARNER)
+    for n in range(2):
+        kept.update(log.filter(F.col("id_historical_data") % 2 == n), n)
+    assert rows(kept.latest()) == rows(review.update_vocab(words, log, views.LEARNER))
+
+
+def test_sessions_of_a_log_with_one_large_learner(spark, sf_dir):
+    """Nine tenths of the tries are one learner's; they are counted in many tasks, and few rows reach its window."""
+    log = views.tries(spark, sf_dir).withColumn("learner_id", F.when(F.col("id_historical_data") % 10 > 0, -1).otherwise(F.col("learner_id")))
+    log = log.repartition(8)
+    done = review_stream.log_sessions(log, views.LEARNER)
+    assert rows(done) == rows(review_stream.session_progress(log, views.LEARNER).select(done.columns))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.rindex("Exchange hashpartitioning")  # the first one to run
+    assert "partial_count" in plan[exchange:] and "Sort [" not in plan[exchange:] and "MergingSessions" not in plan
+    everyone = review_stream.log_sessions(log.drop("learner_id"))
+    assert rows(everyone) == rows(review_stream.session_progress(log.withColumn("one", F.lit(1)), ["one"]).drop("one"))
 
 
 def test_closed_sessions_of_the_stream_are_batch_sessions(spark, sf_dir):
