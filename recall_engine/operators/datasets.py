@@ -136,10 +136,14 @@ def probabilities_by_word(scored: DataFrame, partition_by: Sequence[str] = ()) -
 def session_ranks(dataset: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Distinct sessions with their 0-based rank and the number of sessions.
 
-    Sessions are at least a gap apart, so a learner has a few hundred a year: the ranking window is small.
+    Sessions are at least a gap apart, so a learner has a few hundred a year: the ranking window is small. Without a
+    learner the sessions of all are numbered by ranges.
     """
     sessions = dataset.select(*partition_by, "id_session").distinct()
-    whole = Window.partitionBy(*(partition_by or [F.lit(0)]))
+    if not partition_by:
+        ranked = dense_id(sessions, ["id_session"], "session_rank")
+        return ranked.withColumn("nb_sessions", ranked.agg(F.count(F.lit(1))).scalar())
+    whole = Window.partitionBy(*partition_by)
     return sessions.withColumns(
         {
             "session_rank": F.row_number().over(whole.orderBy("id_session")) - 1,

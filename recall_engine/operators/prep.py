@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recall_engine.operators.global_order import dense_id
 from recall_engine.schemas import IMPUTE
+from recall_engine.staging import stage
 
 MAX_DUMMIES = 1_000  # one-hot columns over all variables
 MAX_INLINE_CATEGORIES = 1_000  # beyond it the label index is joined instead of inlined
@@ -43,7 +45,7 @@ class OneHot:
         distinct = _text_values(dataset, columns).filter(F.col("value").isNotNull()).distinct()
         rows = distinct.limit(MAX_DUMMIES + 1).collect()
         if len(rows) > MAX_DUMMIES:
-            raise ValueError(f"more than {MAX_DUMMIES} categories: use LabelIndex for these columns")
+            raise ValueError(f"more than {MAX_DUMMIES} categories: use SparseOneHot for these columns")
         values = {c: sorted(r.value for r in rows if r.variable == c) for c in columns}
         return cls(values, {c: dataset.schema[c].dataType.simpleString() for c in columns})
 
@@ -67,6 +69,44 @@ class OneHot:
         return dataset.withColumns(dummies).drop(*self.values)
 
 
+class SparseOneHot:
+    """One sparse vector of zeros and ones per variable, whatever the number of categories.
+
+    Categories are a table (``variable``, ``value``, ``place``), numbered in the order of their values; it is joined, not inlined, and no
+    column stands for a category. The last entry of a vector is that of missing values; an unseen value gives zeros only.
+    """
+
+    def __init__(self, categories: DataFrame, sizes: dict[str, int]):
+        self.categories, self.sizes = categories, sizes
+
+    @classmethod
+    def fit(cls, dataset: DataFrame, columns: Sequence[str]) -> SparseOneHot:
+        distinct = _text_values(dataset, columns).filter(F.col("value").isNotNull()).distinct()
+        placed = dense_id(distinct, ["variable", "value"], "_place")
+        first = placed.groupBy("variable").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        sizes = {r.variable: r["_n"] for r in first.collect()}  # one row a variable
+        categories = placed.join(first, "variable").select("variable", "value", (F.col("_place") - F.col("_first")).alias("place"))
+        return cls(stage(categories, "categories"), {c: sizes.get(c, 0) for c in columns})
+
+    def output(self, column: str) -> str:
+        return f"{column}__vector"
+
+    def transform(self, dataset: DataFrame) -> DataFrame:
+        """The columns replaced by their vectors."""
+        done = dataset
+        for column, size in self.sizes.items():
+            mine = self.categories.filter(F.col("variable") == column).select(F.col("value").alias("_value"), F.col("place").alias("_place"))
+            # A missing value has the last entry; an unseen one lies beyond the vector.
+            place = F.when(F.col(column).isNull(), size).otherwise(F.coalesce("_place", F.lit(size + 1)))
+            joined = done.join(mine, F.col(column).cast("string") == F.col("_value"), "left")
+            done = joined.withColumn(f"_{column}_place", place.cast("double")).drop("_value", "_place")
+        places, outputs = [f"_{c}_place" for c in self.sizes], [self.output(c) for c in self.sizes]
+        largest = dataset.sparkSession.createDataFrame([tuple(float(n) for n in self.sizes.values())], places)
+        # Places beyond the vector are kept as an entry of their own, which is then left out.
+        encoder = OneHotEncoder(inputCols=places, outputCols=outputs, handleInvalid="keep", dropLast=True).fit(largest)
+        return encoder.transform(done).drop(*places, *self.sizes)
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Zero mean and unit population deviation; a constant column is only centred."""

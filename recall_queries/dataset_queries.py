@@ -22,7 +22,7 @@ from recall_engine.operators import datasets, history, metrics, prep, reports
 from recall_engine.operators.global_order import dense_id
 from recall_engine.operators.word_state import StateLog, next_session_from_state
 from recall_engine.schemas import FEATURES, IMPUTE
-from recall_engine.staging import new_path
+from recall_engine.staging import new_path, stage
 
 ID = "id_historical_data"
 NOW = "2024-02-10 09:30:00"
@@ -352,6 +352,45 @@ def p4(spark, sf):
     return prep.OneHot.fit(data, P4_COLUMNS).transform(data)
 
 
+@query(
+    "p4_sparse_one_hot",
+    f"""WITH {TRIES_SQL}, v AS (SELECT guess, dense_rank() OVER (ORDER BY guess) - 1 AS place FROM (SELECT DISTINCT guess FROM fx_tries)),
+      w AS (SELECT write_it_again AS text, row_number() OVER (ORDER BY write_it_again) - 1 AS place
+            FROM (SELECT DISTINCT write_it_again FROM fx_tries WHERE write_it_again IS NOT NULL))
+    SELECT id_historical_data, CAST(v.place AS BIGINT) AS guess_place, CAST(coalesce(w.place, (SELECT count(*) FROM w)) AS BIGINT) AS again_place
+    FROM fx_tries t JOIN v ON v.guess = t.guess LEFT JOIN w ON w.text = t.write_it_again""",
+)
+def p4_sparse(spark, sf):
+    """Which entry is one in the vectors of two text columns with as many categories as there are texts."""
+    columns = ["guess", "write_it_again"]
+    data = stage(tries(spark, sf).select(ID, *columns), "texts")
+    done = prep.SparseOneHot.fit(data, columns).transform(data)
+    one = lambda c: F.regexp_extract(F.col(c).cast("string"), r"\[([0-9]+)\]", 1).cast("long")
+    return done.select(ID, one("guess__vector").alias("guess_place"), one("write_it_again__vector").alias("again_place"))
+
+
+def _catalogue():
+    roles = {FEATURES.target: "target"}
+    for role in ("numerical", "diff_time", "boolean", "categorical"):
+        roles |= dict.fromkeys(getattr(FEATURES, role), role)
+    return roles
+
+
+@query(
+    "t3_variable_catalogue",
+    f"""WITH {D3_SQL}, d AS (SELECT *, 0 AS one FROM (SELECT id_historical_data, result, {ROLES_SQL} FROM fx_features JOIN fx_vocab_features USING (id_vocab)))
+    SELECT r.variable, r.role, r.known FROM (SELECT unnest([{', '.join(
+        f"struct_pack(variable := '{c}', role := '{role}', known := count({c}))" for c, role in {**_catalogue(), ID: 'outside'}.items())}]) AS r FROM d)""",
+)
+def t3(spark, sf):
+    """Every column of the training set with its role, or ``outside`` of the catalogue, and how many rows know it."""
+    rows = training_set(spark, sf).select(ID, "result", *FEATURES.all)
+    roles = {c: _catalogue().get(c, "outside") for c in rows.columns}
+    assert FEATURES.outside(rows.columns) == [ID]
+    counts = [F.struct(F.lit(c).alias("variable"), F.lit(role).alias("role"), F.count(c).alias("known")) for c, role in roles.items()]
+    return rows.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
+
+
 @query(
     "p5_standard_scale",
     f"""WITH {TRIES_SQL} SELECT id_historical_data,

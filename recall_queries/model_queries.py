@@ -66,6 +66,18 @@ def m1(spark, sf):
     return models.PriorModel.fit(rows).predict(rows).select(ID, "y_proba", "y_pred")
 
 
+@query(
+    "j12_predictions_beside_keys",
+    f"""WITH {TRIES_SQL}, p AS (SELECT avg(result) AS p FROM fx_tries)
+    SELECT learner_id, id_historical_data, id_vocab, language_asked, round(p, 6) AS y_proba, abs(result - round(p, 6)) < 0.5 AS hit FROM fx_tries, p""",
+)
+def j12(spark, sf):
+    """Predictions keep the columns of their rows: nothing is put side by side by position."""
+    rows = tries(spark, sf).select("learner_id", ID, "id_vocab", "language_asked", "result").repartition(7, "id_vocab")
+    scored = models.PriorModel.fit(rows.select("result")).predict(rows)
+    return scored.select("learner_id", ID, "id_vocab", "language_asked", "y_proba", (F.abs(F.col("result") - F.round("y_proba", 6)) < 0.5).alias("hit"))
+
+
 def logistic_model(spark, sf, rows):
     return models.fit_logistic(rows.filter("split = 'train'"), models.LogisticSettings(keep=None))
 

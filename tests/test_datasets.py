@@ -132,3 +132,37 @@ def test_scaler_uses_the_population_and_leaves_constants(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x DOUBLE, y DOUBLE")
     got = prep.Scaler.fit(df, ["x", "y"]).transform(df).collect()
     assert [tuple(r) for r in got] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_sparse_one_hot_is_the_dense_form(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    train = spark.createDataFrame([("b", True), ("a", False), (None, None), ("b", True)], "c string, f boolean")
+    later = spark.createDataFrame([(1, "a", None), (2, "zz", True), (3, None, False), (4, "b", True), (5, "b", True)], "id long, c string, f boolean")
+    dense = {r.id: r for r in prep.OneHot.fit(train, ["c", "f"]).transform(later).collect()}
+    sparse = prep.SparseOneHot.fit(train, ["c", "f"]).transform(later)
+    assert sparse.columns == ["id", "c__vector", "f__vector"]
+    for r in sparse.select("id", vector_to_array("c__vector").alias("c"), vector_to_array("f__vector").alias("f")).collect():
+        assert r.c + r.f == list(dense[r.id])[1:]
+
+
+def test_sparse_one_hot_of_many_categories(spark):
+    n = 100_000
+    rows = spark.range(n + 1).select("id", F.when(F.col("id") < n, F.format_string("c%06d", "id")).alias("c"))
+    fitted = prep.SparseOneHot.fit(rows, ["c"])
+    assert fitted.sizes == {"c": n}
+    found = fitted.transform(rows.filter("id % 25000 = 0").unionByName(spark.createDataFrame([(-1, "new")], "id long, c string")))
+    got = {r.id: (r.c__vector.size, r.c__vector.indices.tolist()) for r in found.collect()}
+    assert got == {-1: (n + 1, []), 0: (n + 1, [0]), 25_000: (n + 1, [25_000]), 50_000: (n + 1, [50_000]), 75_000: (n + 1, [75_000]), n: (n + 1, [n])}
+
+
+def test_ranks_share_and_no_window_is_unpartitioned(spark):
+    from recall_engine.operators import reports
+
+    trials = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.5), (4, None), (5, 0.1)], "id long, score double")
+    ranked = reports.rank_trials(trials, "score")
+    assert {r.id: r.rank_test_score for r in ranked.collect()} == {1: 2, 2: 1, 3: 2, 4: 5, 5: 4}
+    sessions = spark.range(30).select((F.col("id") % 7).alias("id_session"))
+    done = datasets.session_ranks(sessions)
+    assert sorted((r.id_session, r.session_rank, r.nb_sessions) for r in done.collect()) == [(i, i, 7) for i in range(7)]
+    assert "SinglePartition" not in datasets.split_by_session(sessions)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
