@@ -326,7 +326,7 @@ def token_files(docs: DataFrame, path: str, id_col: str, text_col: str, docs_per
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """``file``, ``_nth``, ``_id``, ``_first``, ``n_tokens`` and ``ids`` of every document in the files."""
+    """``file``, ``_id``, ``_first`` (its first token in the file), ``n_tokens`` and ``ids_crc32`` of every document in the files."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

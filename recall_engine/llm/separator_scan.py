@@ -4,12 +4,12 @@ A token file is nothing but identifiers of fixed width, one document after the o
 end-of-document identifier; it has no index. Files come as blocks of bytes cut without regard to documents. Each
 block is searched for the identifier in one vectorised comparison and reduced to its separators' places. A block
 knows neither how many documents end before it nor where the document open at its start began: both are
-prefix scans over the small summaries of the blocks (a sum and a running last place), after which every block
-turns its places into documents by itself.
+prefix scans over the blocks of a file (a sum and a running last place), after which every block turns its places into
+documents by itself. The scan carries each block's list of places along, so the separators of one file pass one task.
 
 Defined cases: an empty file or block has no document; tokens behind the last identifier make a last document marked
 as not closed; a block's size has to be a whole number of identifiers, else the scan stops with an error; null
-blocks are empty; repeated (file, block) pairs are an error in the input and are read one after the other;
+blocks are empty; repeated (file, block) pairs are an error in the input and are read one after the other, in no defined order;
 an empty table gives an empty one.
 """
 
