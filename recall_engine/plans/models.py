@@ -13,14 +13,16 @@ from functools import reduce
 from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recall_engine.operators import metrics, prep
 from recall_engine.operators.oversampling import smote
+from recall_engine.plans.rounds import boost
 from recall_engine.schemas import FEATURES, FeatureSpec
 from recall_engine.staging import stage
 
@@ -71,6 +73,8 @@ class BoostingSettings:
 
     With validation rows training stops once ``patience`` further trees have not lowered the loss on them, and the
     trees up to the best are kept. ``elimination_trees`` is how many trees judge the features (None: ``trees``).
+    ``max_leaves`` is kept by the depth: a tree of d levels has at most 2 ** d leaves. The rows of a tree change every
+    ``bagging_frequency`` trees; with 0 every tree has all rows.
     """
 
     trees: int = 1_000
@@ -79,6 +83,8 @@ class BoostingSettings:
     feature_fraction: float = 0.75
     row_fraction: float = 0.75
     patience: int = 30
+    max_leaves: int | None = None
+    bagging_frequency: int = 400
     elimination_trees: int | None = None
     oversample: bool = False
     scale: bool = False
@@ -87,6 +93,13 @@ class BoostingSettings:
     def __post_init__(self) -> None:
         if not 0 <= self.max_depth <= 30:
             raise ValueError(f"max_depth {self.max_depth}: trees can be 0 to 30 deep")
+        if self.max_leaves is not None and self.max_leaves < 1:
+            raise ValueError("a tree has a leaf")
+
+    @property
+    def depth(self) -> int:
+        """The most levels that keep both bounds."""
+        return self.max_depth if self.max_leaves is None else min(self.max_depth, self.max_leaves.bit_length() - 1)
 
 
 @dataclass
@@ -102,6 +115,8 @@ class FittedModel:
     scaler: prep.Scaler | None = None
     fill: float | None = None
     ranking: list[tuple[str, int]] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)  # held-out loss after each fitted tree
+    fits: int = 0  # trees that were fitted, kept or not
 
     def preprocess(self, dataset: DataFrame) -> DataFrame:
         ready = prep.impute(dataset)
@@ -162,6 +177,8 @@ class FittedModel:
             "scaler": self.scaler.moments if self.scaler else None,
             "fill": self.fill,
             "ranking": self.ranking,
+            "losses": self.losses,
+            "fits": self.fits,
         }
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         line = spark.createDataFrame([(json.dumps(state),)], "value STRING")
@@ -184,6 +201,8 @@ class FittedModel:
             scaler,
             state["fill"],
             [tuple(r) for r in state["ranking"]],
+            state.get("losses", []),
+            state.get("fits", 0),
         )
 
 
@@ -292,12 +311,13 @@ def eliminate_features(
 
 
 def boosting(settings: BoostingSettings, features: str = "features") -> GBTClassifier:
+    """What judges inputs in their elimination."""
     return GBTClassifier(
         featuresCol=features,
         labelCol="label",
         maxIter=settings.trees,
         stepSize=settings.learning_rate,
-        maxDepth=settings.max_depth,
+        maxDepth=settings.depth,
         featureSubsetStrategy=str(settings.feature_fraction),
         subsamplingRate=settings.row_fraction,
         seed=settings.seed,
@@ -318,66 +338,93 @@ def best_prefix(losses: Sequence[float], patience: int) -> int:
     return best + 1
 
 
-def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first ``n`` trees."""
-    context = SparkSession.active().sparkContext
-    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = context._gateway.new_array(context._jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = fitted._java_obj.trees()[i], fitted.treeWeights[i]
-    kind = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
-    return GBTClassificationModel(kind(fitted.uid, trees, weights)).setFeaturesCol(fitted.getFeaturesCol())
+@dataclass
+class BoostingRows:
+    """Encoded rows, written once for any number of trainings (``all``, ``label``, ``tag``), and what encoded them."""
+
+    train: DataFrame
+    held: DataFrame | None
+    inputs: list[str]
+    index: dict[str, dict]
+    scaler: prep.Scaler | None
+    spec: FeatureSpec
 
 
-def fit_boosting(
+def prepare_boosting(
     dataset: DataFrame,
-    settings: BoostingSettings = BoostingSettings(),
     valid: DataFrame | None = None,
     spec: FeatureSpec = FEATURES,
-    keep: int | None = None,
-) -> FittedModel:
-    """Train on ``dataset``; ``valid`` rows stop the training early. ``keep`` eliminates features first."""
+    oversample: bool = False,
+    scale: bool = False,
+    seed: int = 0,
+) -> BoostingRows:
+    """Encoders are fitted on ``dataset`` alone; ``tag`` is a hash of a whole row, so equal rows share one."""
     codes = spec.boolean + spec.categorical
     ready = prep.impute(dataset.filter(F.col(spec.target).isNotNull()))
     # A tree model carries the codes of its inputs with it, whatever their number.
     inline = prep.LabelIndex.fit(ready, codes, ORDER, most_inline=None).as_inline()
     inputs = [*spec.numerical, *spec.diff_time, *codes]
+    named = [c for c in dataset.columns if not isinstance(dataset.schema[c].dataType, (T.MapType, T.VariantType))]
 
     def encode(rows: DataFrame) -> DataFrame:
-        coded = prep.apply_inline_index(prep.impute(rows), inline)
+        tagged = rows.withColumn("_tag", F.xxhash64(*named))
+        coded = prep.apply_inline_index(prep.impute(tagged), inline)
         label = F.col(spec.target).cast("double").alias("label")
-        return coded.select(*inputs, label).fillna(MISSING, subset=inputs)
+        return coded.select(*inputs, label, "_tag").fillna(MISSING, subset=inputs)
 
-    rows = encode(ready)
-    if settings.oversample:
-        rows = smote(rows, inputs, "label", seed=settings.seed)
+    rows = encode(dataset.filter(F.col(spec.target).isNotNull()))
+    if oversample:
+        rows = smote(rows, inputs, "label", seed=seed).withColumn("_tag", F.xxhash64(*inputs, "label"))
     scaler = None
-    if settings.scale:
+    if scale:
         scaler = prep.Scaler.fit(rows, inputs)
         rows = scaler.transform(rows)
+    assembler = VectorAssembler(inputCols=inputs, outputCol="all")
+    written = [F.col("all"), F.col("label"), F.col("_tag").alias("tag")]
+    train = stage(assembler.transform(rows).select(*written), "training")
+    held = None
     if valid is not None:
         held = encode(valid.filter(F.col(spec.target).isNotNull()))
-        held = scaler.transform(held) if scaler else held
-        rows = rows.withColumn("is_valid", F.lit(False)).unionByName(held.withColumn("is_valid", F.lit(True)))
-    kept = [c for c in ("label", "is_valid") if c in rows.columns]
-    training = stage(VectorAssembler(inputCols=inputs, outputCol="all").transform(rows).select("all", *kept), "training")
-    used, ranking = inputs, []
-    seen = ~F.col("is_valid") if valid is not None else F.lit(True)
+        held = stage(assembler.transform(scaler.transform(held) if scaler else held).select(*written), "held")
+    return BoostingRows(train, held, inputs, inline, scaler, spec)
+
+
+def train_boosting(rows: BoostingRows, settings: BoostingSettings, keep: int | None = None) -> FittedModel:
+    """Trees on prepared rows; how they were prepared goes into the model."""
+    used, ranking = rows.inputs, []
     if keep:
         judge = boosting(replace(settings, trees=settings.elimination_trees or settings.trees), "kept")
-        ranking = eliminate_features(training.filter(seen), inputs, keep, judge)
+        ranking = eliminate_features(rows.train, rows.inputs, keep, judge)
         used = [name for name, rank in ranking if rank == 1]
-    vectors = _vectors(training, inputs, used)
-    fitted = boosting(settings).fit(vectors.filter(seen))
-    if valid is not None and settings.trees > 1:
-        losses = fitted.evaluateEachIteration(vectors.filter("is_valid"))
-        fitted = first_trees(fitted, best_prefix(losses, settings.patience))
-    pipeline = PipelineModel(stages=[VectorAssembler(inputCols=used, outputCol="features"), fitted])
+    held = None if rows.held is None else _vectors(rows.held, rows.inputs, used).drop("all")
+    done = boost(_vectors(rows.train, rows.inputs, used).drop("all"), settings, held)
+    pipeline = PipelineModel(stages=[VectorAssembler(inputCols=used, outputCol="features"), done.model])
     return FittedModel(
-        "gradient_boosting", spec, used, pipeline, index=inline, scaler=scaler, fill=MISSING, ranking=ranking
+        "gradient_boosting",
+        rows.spec,
+        used,
+        pipeline,
+        index=rows.index,
+        scaler=rows.scaler,
+        fill=MISSING,
+        ranking=ranking,
+        losses=done.losses,
+        fits=done.fits,
     )
 
 
+def fit_boosting(
+    dataset: DataFrame,
+    settings: BoostingSettings = BoostingSettings(),
+    valid: DataFrame | None = None,
+    spec: FeatureSpec = FEATURES,
+    keep: int | None = None,
+) -> FittedModel:
+    """Train on ``dataset``; ``valid`` rows stop the training early. ``keep`` eliminates features first."""
+    rows = prepare_boosting(dataset, valid, spec, settings.oversample, settings.scale, settings.seed)
+    return train_boosting(rows, settings, keep)
+
+
 # --- components -------------------------------------------------------------------------------------
 
 

@@ -46,3 +46,9 @@ def stage(df: DataFrame, label: str = "stage", path: str | None = None) -> DataF
     target = path or new_path(spark, label)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recall_queries import dataset_queries, views
 from recall_engine.operators import datasets, oversampling, prep
 from recall_engine.operators.global_order import dense_id
-from recall_engine.plans import models, search
+from recall_engine.plans import models, rounds, search
 from recall_engine.staging import stage
 
 
@@ -109,6 +109,38 @@ def test_early_stop_keeps_the_best_prefix_under_patience(rows):
     best = models.best_prefix(losses, 3)
     assert stopped.pipeline.stages[-1].getNumTrees == best
     assert stopped.pipeline.stages[-1].evaluateEachIteration(assembler.transform(held)) == pytest.approx(losses[:best])
+    assert full.fits == 12 and full.losses == []
+    assert stopped.fits == min(best + 3, 12) and stopped.losses == pytest.approx(losses[: stopped.fits])
+
+
+def test_rounds_end_while_training(rows):
+    """Fits after the best tree are as many as the patience; the sum of trees is right beyond a written table."""
+    train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+    settings = models.BoostingSettings(trees=60, learning_rate=0.9, max_depth=5, patience=12, bagging_frequency=2)
+    model = models.fit_boosting(train, settings, valid)
+    best = model.pipeline.stages[-1].getNumTrees
+    assert model.fits == best + 12 < 60 and len(model.losses) == model.fits > rounds.ROUNDS_A_TABLE
+    assert best == model.losses.index(min(model.losses)) + 1
+
+
+def test_bags_and_leaves(spark):
+    df = spark.range(4000).withColumn("tag", F.xxhash64("id"))
+    taken = [
+        {r.id for r in df.filter(rounds._bag(F.col("tag"), 0.75, frequency, 0, number)).collect()}
+        for frequency, number in [(2, 0), (2, 1), (2, 2), (0, 0)]
+    ]
+    assert taken[0] == taken[1] != taken[2] and len(taken[3]) == 4000
+    assert all(abs(len(t) - 3000) < 150 for t in taken[:3])
+    depth = lambda leaves: models.BoostingSettings(max_depth=6, max_leaves=leaves).depth
+    assert [depth(n) for n in (None, 1, 2, 3, 4, 63, 64, 1000)] == [6, 0, 1, 1, 2, 5, 6, 6]
+    with pytest.raises(ValueError):
+        models.BoostingSettings(max_leaves=0)
+
+
+def test_nothing_held_out_stops_nothing(rows):
+    train = rows.filter("split = 'train'")
+    model = models.fit_boosting(train, models.BoostingSettings(trees=2, max_depth=1, patience=1), train.limit(0))
+    assert model.fits == 2 and model.pipeline.stages[-1].getNumTrees == 2 and model.losses == []
 
 
 def test_more_than_a_thousand_categories(rows):
