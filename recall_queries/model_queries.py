@@ -126,25 +126,30 @@ def s9(spark, sf):
 
 @query("m7_grid_search")
 def m7(spark, sf):
+    """Five folds; two penalties; two numbers of kept features, two of components, and all features."""
     rows = split_rows(spark, sf).filter("split = 'train'")
-    return search.logistic_grid(rows, c_values=(1.0, 100.0), keeps=(50,), folds=3, max_iter=20)
+    axes = dict(reductions=("None", "PCA"), selections=(True, False), components=(10, 20))
+    return search.logistic_grid(rows, c_values=(1.0, 100.0), keeps=(48, 50), max_iter=20, **axes)
 
 
 def searched(spark, sf):
     rows = dataset_queries.training_set(spark, sf)
-    folds = datasets.expanding_folds(rows, 2, 2, LEARNER)
-    trials = search.random_boosting_settings(2, seed=1, trees=3)
-    return search.search_boosting(folds, [models.replace(t, max_depth=5) for t in trials])
+    folds = datasets.expanding_folds(rows, 5, 2, LEARNER)
+    trials = search.random_boosting_settings(3, seed=1, trees=3)
+    return search.search_boosting(folds, [models.replace(t, max_depth=min(t.max_depth, 5)) for t in trials])
+
+
+TRIAL_COLUMNS = ["number", "value", "state", "folds", *[f"params_{p}" for p in search.PARAMETERS]]
 
 
 @query("m8_search_over_folds")
 def m8(spark, sf):
-    return searched(spark, sf).select("number", "value", "params")
+    return searched(spark, sf).select(*TRIAL_COLUMNS)
 
 
 @query("m9_best_trial")
 def m9(spark, sf):
-    return reports.best_trial(searched(spark, sf), "value", "number", minimize=False).select("number", "value", "params")
+    return reports.best_trial(searched(spark, sf), "value", "number", minimize=False).select(*TRIAL_COLUMNS)
 
 
 @query("p7_principal_components")

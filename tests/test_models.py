@@ -6,9 +6,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from recall_queries import dataset_queries, views
-from recall_engine.operators import datasets, oversampling, prep
+from recall_engine.operators import datasets, oversampling, prep, reports
 from recall_engine.operators.global_order import dense_id
 from recall_engine.plans import models, rounds, search
+from recall_engine.schemas import FeatureSpec
 from recall_engine.staging import stage
 
 
@@ -244,13 +245,91 @@ def test_smote_balances_between_neighbours(points):
     assert sorted(map(str, done.collect())) == sorted(map(str, oversampling.smote(df, ["a", "b", "c"], "label", block_rows=16).collect()))
 
 
-def test_search_scores_every_trial(rows):
+def test_search_scores_every_trial_and_drops_trailing_ones(rows):
     folds = datasets.expanding_folds(rows.drop("split"), 2, 1, views.LEARNER)
-    trials = [models.replace(t, max_depth=3) for t in search.random_boosting_settings(2, seed=4, trees=1)]
-    table = search.search_boosting(folds, trials, objective=lambda scored: float(scored.count()))
+    drawn = search.random_boosting_settings(3, seed=4, trees=1)
+    # Deeper trees spread the probabilities more.
+    trials = [models.replace(t, max_depth=d, max_leaves=None, feature_fraction=1.0, row_fraction=1.0) for t, d in zip(drawn, (1, 4, 2))]
+    spread = lambda scored: float(scored.agg(F.var_pop("y_proba")).first()[0])
+    table = search.search_boosting(folds, trials, spread)
     got = table.orderBy("number").collect()
-    assert [r.number for r in got] == [0, 1] and got[0].value == got[1].value > 0
-    assert search.random_boosting_settings(3, 1) == search.random_boosting_settings(3, 1)
+    assert [r.number for r in got] == [0, 1, 2] and [r.state for r in got] == ["PRUNED", "COMPLETE", "COMPLETE"]
+    assert [r.folds for r in got] == [1, 2, 2] == [r.fits for r in got]
+    assert got[0].value is None and 0 < got[0].mean_so_far < got[2].value < got[1].value
+    assert [r.params_max_depth for r in got] == [1, 4, 2] and all(r.datetime_start <= r.datetime_complete for r in got)
+    assert reports.best_trial(table, "value", "number", minimize=False).first().number == 1
+    means = {r.params_max_depth: r.n for r in reports.score_per_value(table, "params_max_depth", "value").collect()}
+    assert means == {1: 0, 4: 1, 2: 1}
+    assert reports.trial_duration(table).filter("duration_hour < 0").isEmpty()
+
+
+def test_trailing_trials():
+    assert search.still_in_it({0: [0.1], 1: [0.5], 2: [0.5], 3: [0.2]}) == [1, 2]
+    assert search.still_in_it({0: [0.3, 0.1], 1: [0.2, 0.2]}) == [0, 1]
+    assert search.still_in_it({0: [None], 1: [0.2]}) == [1] and search.still_in_it({0: [None]}) == []
+
+
+def test_random_settings_draw_seven_parameters():
+    drawn = search.random_boosting_settings(200, 1)
+    assert drawn == search.random_boosting_settings(200, 1)
+    for name in search.PARAMETERS:
+        assert len({getattr(t, name) for t in drawn}) > 5, name
+    assert all(t.depth <= 9 and 2 <= t.max_leaves <= 997 and 5 <= t.patience <= 100 for t in drawn)
+
+
+@pytest.fixture(scope="module")
+def graded(points):
+    """The points with an id, a category and a number that says nothing; y is in every third row only."""
+    _, _, df = points
+    spec = FeatureSpec("label", ("a", "b", "c", "noise"), (), (), ("kind",))
+    numbered = dense_id(df, ["a", "b", "c", "label"], "id_historical_data")
+    place = F.col("id_historical_data")
+    kind = F.when(place % 5 == 4, F.when(place % 2 == 0, "late").otherwise("x")).when(place % 3 == 0, "y").otherwise("x")
+    return stage(numbered.withColumns({"noise": place * 7919 % 97 / 97.0, "kind": kind}), "graded"), spec
+
+
+def test_grid_serves_all_keeps_from_one_path_a_fold(graded):
+    df, spec = graded
+    fits, fold = search.GridFits(), (F.col("id_historical_data") % 3).cast("int")
+    table = search.logistic_grid(df, (1.0, 50.0), (2, 3, 5), 3, spec=spec, max_iter=60, l1=False, fold=fold, fits=fits)
+    got = {(r.keep, r.c): r for r in table.collect()}
+    # kind gives x, y, late and missing: 8 inputs and 6 drops a path, but y is unknown outside fold 0; 6 classifiers a fold.
+    assert (fits.eliminations, fits.projections, fits.classifiers) == (6 + 6 + 5, 0, 18) and len(got) == 6
+    settings = models.LogisticSettings(c=50.0, max_iter=60)
+    per_fold = []
+    for n in range(3):
+        mine, held = df.filter(fold != n), df.filter(fold == n)
+        ready, one_hot, scaler, inputs = models.prepare_logistic(mine, settings, spec)
+        training = VectorAssembler(inputCols=inputs, outputCol="all").transform(ready).select("all", "label")
+        judge = models.logistic(models.LogisticSettings(c=1.0, max_iter=60), training.count(), "kept")
+        used = [name for name, rank in models.eliminate_features(training, inputs, 3, judge) if rank == 1]
+        assembler = VectorAssembler(inputCols=used, outputCol="features")
+        model = models.logistic(settings, training.count()).fit(assembler.transform(ready))
+        coded = scaler.transform(one_hot.transform(held)).fillna(0.0, subset=inputs)
+        per_fold.append(model.transform(assembler.transform(coded)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+    row = got[3, 50.0]
+    assert [row.split0_test_score, row.split1_test_score, row.split2_test_score] == pytest.approx(per_fold)
+    assert row.mean_test_score == pytest.approx(np.mean(per_fold)) and row.std_test_score == pytest.approx(np.std(per_fold))
+    assert min(r.rank_test_score for r in got.values()) == 1 and row.mean_test_score > 0.9
+
+
+def test_grid_axes(graded):
+    df, spec = graded
+    fits = search.GridFits()
+    table = search.logistic_grid(
+        df, (10.0,), (3,), 2, spec=spec, max_iter=30, samplings=("None", "SMOTE"), reductions=("None", "PCA"),
+        selections=(True, False), components=(1, 2), fits=fits,
+    )
+    got = [(r.sampling, r.dimension_reduction, r.feature_selection, r.components, r.keep) for r in table.collect()]
+    each = [("None", True, None, 3), ("None", False, None, None), ("PCA", False, 1, None), ("PCA", False, 2, None)]
+    assert sorted(map(str, got)) == sorted(str((s, *e)) for s in ("None", "SMOTE") for e in each)
+    assert fits.projections == 4 and fits.classifiers == 16
+
+
+def test_grid_without_rows(graded):
+    df, spec = graded
+    assert search.logistic_grid(df.limit(0), (1.0,), (2,), 2, spec=spec).isEmpty()
+    assert search.logistic_grid(df.filter("label = 1"), (1.0,), (2,), 2, spec=spec).isEmpty()
 
 
 def test_prepare_logistic_has_no_nulls(rows):
