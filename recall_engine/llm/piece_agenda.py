@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,7 +33,9 @@ from recall_engine.llm.common import sliced, table, texts_of
 from recall_engine.llm.registry import query
 
 BLANK = "\u2581"
+CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
 LONGEST = 64
+IDS_AT_ONCE = 1 << 18
 KNOWN_CHUNKS = 400_000  # distinct chunks a worker remembers; a bound on memory, not on results
 
 
@@ -78,8 +81,14 @@ class Pieces:
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ids = np.array([i for _, i in pairs], np.int32)
         self.merged = dict(pairs)
-        #: Chunks met so far in this worker with their ids.
-        self.known: dict[str, tuple[list[int], str]] = {}
+        #: Chunks met so far in this worker by number; ids of these in a row, and how many each has.
+        self.known: dict[str, int] = {}
+        self.known_ids = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        #: ",0,1,2,..." and where each id begins in it.
+        written = [f",{i}".encode() for i in range(n)]
+        self.decimals = np.frombuffer(b"".join(written), np.uint8)
+        self.decimal_counts = np.array([len(w) for w in written], np.int64)
+        self.decimal_starts = np.cumsum(self.decimal_counts) - self.decimal_counts
         # Pairs of Latin letters, the first step of nearly all texts, are read from a square table.
         letters = [i for p, i in self.ids.items() if len(p) == 1 and (ord(p) < 0x250 or p == BLANK)]
         self.letter = np.full(n + 1, len(letters), np.int32)  # the last entry is for symbols without a piece
@@ -197,63 +206,91 @@ def merge_all(chunks: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.nda
             to[r, c], cost[r, c] = fresh, np.where(fresh >= 0, vocabulary.rank[fresh], none)
 
 
-def encode_chunks(chunks: list[str], vocabulary: Pieces) -> dict[str, list[int]]:
-    """Ids of each chunk by the agenda, checked against the library."""
-    ids: dict[str, list[int]] = {}
+def encode_chunks(chunks: list[str], vocabulary: Pieces) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The chunks in some order, all their ids in a row and their numbers of ids, by the agenda; checked against the library."""
     short = sorted((c for c in chunks if len(c) <= LONGEST), key=len)
+    order, ids, counts, odd = [], [], [], []
     for start in range(0, len(short), 20_000):  # alike lengths together: little padding
         part = short[start : start + 20_000]
-        flat, counts = merge_all(part, vocabulary)
-        ends, plain = np.cumsum(counts).tolist(), flat.tolist()
-        for chunk, a, b in zip(part, [0, *ends], ends, strict=False):
-            ids[chunk] = plain[a:b]
-        for at in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right")).tolist():
-            ids[part[at]] = vocabulary.spelled(ids[part[at]])
-    for chunk in chunks:
-        if len(chunk) > LONGEST:
-            ids[chunk] = vocabulary.spelled(merge_one(vocabulary.symbols(chunk).tolist(), vocabulary))
-    # The library puts one blank mark in front of whatever it encodes; a single mark is therefore not compared.
-    marked = [c for c in ids if c != BLANK]
-    library = vocabulary.library.encode([c[1:].replace(BLANK, " ") for c in marked], num_threads=1)
-    for chunk, want in zip(marked, library, strict=True):
-        if ids[chunk] != want:
-            raise ValueError(f"chunk {chunk!r}: {ids[chunk]} differs from the library's {want}")
-    return ids
+        flat, number = merge_all(part, vocabulary)
+        owner = np.repeat(np.arange(len(part)), number)
+        strange = np.unique(owner[flat < 0])  # with characters that have no piece
+        ends = np.cumsum(number)
+        for at in strange.tolist():
+            odd.append((part[at], flat[ends[at] - number[at] : ends[at]].tolist()))
+        plain = np.ones(len(part), bool)
+        plain[strange] = False
+        order += part if not len(strange) else [c for c, p in zip(part, plain.tolist(), strict=True) if p]
+        ids.append(flat[plain[owner]])
+        counts.append(number[plain])
+    odd += [(c, merge_one(vocabulary.symbols(c).tolist(), vocabulary)) for c in chunks if len(c) > LONGEST]
+    spelled = [vocabulary.spelled(symbols) for _, symbols in odd]
+    order += [chunk for chunk, _ in odd]
+    ids.append(np.fromiter(chain.from_iterable(spelled), np.int32))
+    counts.append(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
+    number = np.concatenate([np.zeros(0, np.int64), *counts])
+    _compare(order, flat, number, vocabulary)
+    return order, flat, number
+
+
+def _compare(order: list[str], flat: np.ndarray, number: np.ndarray, vocabulary: Pieces) -> None:
+    """Raises where the library has other ids for a chunk."""
+    library = vocabulary.library.encode([c[1:].replace(BLANK, " ") for c in order], num_threads=1)
+    ends = np.cumsum(number)
+    if BLANK in order:
+        # The library puts one blank mark in front of whatever it encodes; a single mark is therefore not compared.
+        at = order.index(BLANK)
+        library[at] = flat[ends[at] - number[at] : ends[at]].tolist()
+    lengths = np.fromiter(map(len, library), np.int64, len(library))
+    if np.array_equal(lengths, number) and np.array_equal(np.fromiter(chain.from_iterable(library), np.int32, len(flat)), flat):
+        return
+    for chunk, want, end, n in zip(order, library, ends.tolist(), number.tolist(), strict=True):
+        if flat[end - n : end].tolist() != want:
+            raise ValueError(f"chunk {chunk!r}: {flat[end - n : end].tolist()} differs from the library's {want}")
 
 
 def chunks_of(text: str) -> list[str]:
     """Runs of blank marks, each with the characters behind it; the library puts one blank in front."""
-    if not text:
-        return []
-    chunks, run = [], 0
-    for word in text.replace(BLANK, " ").split(" "):
-        run += 1
-        if word:
-            chunks.append(BLANK * run + word)
-            run = 0
-    if run:
-        chunks.append(BLANK * run)
-    return chunks
-
-
-def encode_batch(texts: pa.Array, vocabulary: Pieces) -> list[tuple[list[int], str]]:
-    """Ids of every text, as a list and as decimals joined by commas."""
+    return CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run behind the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def encode_batch(texts: pa.Array, vocabulary: Pieces) -> list[np.ndarray]:
+    """Ids of every text. A chunk is looked up for its number, and the ids of the numbers are gathered at once."""
     chunks = [chunks_of(t) for t in texts.to_pylist()]
-    distinct, known = {c for cs in chunks for c in cs}, vocabulary.known
-    fresh = list(distinct - known.keys())
-    new = {chunk: (ids, ",".join(map(str, ids))) for chunk, ids in encode_chunks(fresh, vocabulary).items()}
-    if len(known) + len(new) <= KNOWN_CHUNKS:
-        known.update(new)
-        found = known
+    known, (ids, counts) = vocabulary.known, vocabulary.known_ids
+    distinct = set().union(*chunks)
+    order, new_ids, new_counts = encode_chunks([c for c in distinct if c not in known], vocabulary)
+    ids, counts = np.concatenate([ids, new_ids]), np.concatenate([counts, new_counts])
+    numbers = dict(zip(order, range(len(known), len(counts)), strict=True))
+    if len(known) + len(order) <= KNOWN_CHUNKS:
+        known.update(numbers)
+        vocabulary.known_ids, numbers = (ids, counts), known
     else:  # full: what came first stays, as frequent chunks come early
-        found = {c: known[c] for c in distinct if c in known} | new
+        numbers |= {c: known[c] for c in distinct if c in known}
+    starts = np.cumsum(counts) - counts
     out = []
     for cs in chunks:
-        pairs = [found[c] for c in cs]
-        out.append((list(chain.from_iterable([ids for ids, _ in pairs])), ",".join([s for _, s in pairs])))
+        at = np.fromiter(map(numbers.__getitem__, cs), np.int64, len(cs))
+        out.append(ids[_runs(starts[at], counts[at])])
     return out
 
 
+def decimals_sha256(ids: np.ndarray, vocabulary: Pieces) -> str:
+    """Hash of the ids as decimals joined by commas."""
+    found = hashlib.sha256()
+    for start in range(0, len(ids), IDS_AT_ONCE):
+        part = ids[start : start + IDS_AT_ONCE]
+        written = vocabulary.decimals[_runs(vocabulary.decimal_starts[part], vocabulary.decimal_counts[part])]
+        found.update(written.tobytes()[0 if start else 1 :])  # no comma in front of the first
+    return found.hexdigest()
+
+
 def encode_and_decode(
     docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False
 ) -> DataFrame:
@@ -271,14 +308,15 @@ def encode_and_decode(
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in sliced(batches, text_col):
             encoded = encode_batch(texts_of(batch.column(text_at)), vocabulary)
-            decoded = vocabulary.library.decode([ids for ids, _ in encoded], num_threads=1)
+            plain = [ids.tolist() for ids in encoded]
+            decoded = vocabulary.library.decode(plain, num_threads=1)
             columns = [
-                pa.array([len(ids) for ids, _ in encoded], pa.int64()),
-                pa.array([digest(s) for _, s in encoded]),
-                pa.array([digest(s) for s in decoded]),
+                pa.array([len(ids) for ids in encoded], pa.int64()),
+                pa.array([decimals_sha256(ids, vocabulary) for ids in encoded], pa.string()),
+                pa.array([digest(s) for s in decoded], pa.string()),
             ]
             if not digest_only:
-                columns += [pa.array([ids for ids, _ in encoded], pa.list_(pa.int32())), pa.array(decoded)]
+                columns += [pa.array(plain, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*named, *added])
 
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in added.items()]])
