@@ -448,12 +448,12 @@ def scored(spark, sf):
     )
 
 
-COUNTS_SQL = f"""{SCORED_SQL}, c AS (
-  SELECT count(*) FILTER (y_true IN (0, 1) AND y_pred IN (0, 1)) AS total_population,
+CELLS_SQL = """count(*) FILTER (y_true IN (0, 1) AND y_pred IN (0, 1)) AS total_population,
     count(*) FILTER (y_true = 1) AS total_positive, count(*) FILTER (y_true = 0) AS total_negative,
     count(*) FILTER (y_true = 1 AND y_pred = 1) AS true_positive, count(*) FILTER (y_true = 1 AND y_pred = 0) AS false_negative,
-    count(*) FILTER (y_true = 0 AND y_pred = 1) AS false_positive, count(*) FILTER (y_true = 0 AND y_pred = 0) AS true_negative
-  FROM fx_rows)"""
+    count(*) FILTER (y_true = 0 AND y_pred = 1) AS false_positive, count(*) FILTER (y_true = 0 AND y_pred = 0) AS true_negative"""
+COUNTS_SQL = f"{SCORED_SQL}, c AS (SELECT {CELLS_SQL} FROM fx_rows)"
+COUNTED = ["total_population", "total_positive", "total_negative", "true_positive", "false_negative", "false_positive", "true_negative"]
 
 
 @query(
@@ -570,24 +570,39 @@ def w11(spark, sf):
 # --- comparing models -------------------------------------------------------------------------------
 
 MODELS = ["ask_german", "ask_english"]
-METRICS_SQL = f"""{SCORED_SQL}, fx_metric AS (
-  SELECT concat('ask_', language_asked) AS model, unnest(['accuracy', 'mean_absolute_error', 'total_positive']) AS metric,
-    unnest([avg(CASE WHEN y_true = y_pred THEN 1.0E0 ELSE 0.0E0 END), avg(abs(y_true - y_proba)), sum(y_true)]) AS value
-  FROM fx_rows GROUP BY language_asked), fx_wide AS (
+METRICS_SQL = f"""{ERROR_SQL}, c AS (
+  SELECT language_asked, {CELLS_SQL} FROM fx_rows GROUP BY 1), q AS (
+  SELECT *, CAST(true_positive AS DOUBLE) AS tp, CAST(false_negative AS DOUBLE) AS fn,
+    CAST(false_positive AS DOUBLE) AS fp, CAST(true_negative AS DOUBLE) AS tn FROM c), fx_ratios AS (
+  SELECT language_asked, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in COUNTED)},
+    total_positive / total_population AS random_precision, {', '.join(f'{s} AS {n}' for n, s in RATIOS_SQL.items())} FROM q), fx_errors AS (
+  SELECT language_asked, {', '.join(f'{s} AS {n}' for n, s in ERRORS_SQL.items())} FROM fx_clipped GROUP BY 1), fx_metric AS (
+  SELECT concat('ask_', language_asked) AS model, metric, value FROM (
+    UNPIVOT (SELECT * FROM fx_ratios JOIN fx_errors USING (language_asked)) ON COLUMNS(* EXCLUDE (language_asked)) INTO NAME metric VALUE value)), fx_wide AS (
   SELECT metric, max(value) FILTER (model = 'ask_german') AS ask_german, max(value) FILTER (model = 'ask_english') AS ask_english
   FROM fx_metric GROUP BY metric)"""
-SHOWN = ["accuracy", "mean_absolute_error", "total_positive"]
-
 
 def compared(spark, sf):
-    """The two directions stand for two models."""
+    """The two directions stand for two models; all metrics of both."""
     rows = scored(spark, sf).withColumn("model", F.concat(F.lit("ask_"), "language_asked"))
     wide = metrics.side_by_side(metrics.evaluate(rows, "model"), MODELS)
-    return metrics.with_objective(wide).filter(F.col("metric").isin(*SHOWN))
+    return metrics.with_objective(wide)
 
 
 WIDE = "round(ask_german, 6) AS ask_german, round(ask_english, 6) AS ask_english"
-GOAL = "CASE metric WHEN 'accuracy' THEN 'maximum' WHEN 'mean_absolute_error' THEN 'minimum' ELSE 'neutral' END"
+#: Metrics of which more is better, and less is better; the others are neutral.
+MORE = [
+    "true_positive", "true_negative", "recall", "specificity", "precision", "negative_predictive_value", "accuracy",
+    "positive_likelihood_ratio", "diagnostic_odds_ratio", "f1_score", "logit_roc_auc", "explained_variance_score", "r2_score",
+]
+LESS = [
+    "false_negative", "false_positive", "miss_rate", "fall_out", "false_discovery_rate", "false_omission_rate", "negative_likelihood_ratio",
+    "max_error", "mean_absolute_error", "root_mean_squared_error", "normalised_log_loss", "normalised_cross_entropy", "brier_score",
+]
+GOAL = (
+    f"CASE WHEN metric IN ({', '.join(map(repr, MORE))}) THEN 'maximum' "
+    f"WHEN metric IN ({', '.join(map(repr, LESS))}) THEN 'minimum' ELSE 'neutral' END"
+)
 
 
 @query("j8_metrics_side_by_side", f"WITH {METRICS_SQL} SELECT metric, {WIDE} FROM fx_wide")
@@ -601,7 +616,8 @@ def j13(spark, sf):
 
 
 BEST = (
-    "CASE {g} WHEN 'maximum' THEN {a}(ask_german, ask_english) WHEN 'minimum' THEN {b}(ask_german, ask_english) END"
+    "CASE WHEN ask_german = ask_english THEN NULL WHEN {g} = 'maximum' THEN {a}(ask_german, ask_english) "
+    "WHEN {g} = 'minimum' THEN {b}(ask_german, ask_english) END"
 )
 BEST_SQL = (
     f"round({BEST.format(g=GOAL, a='greatest', b='least')}, 6) AS best, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recall_queries import vocab_queries
 from recall_queries.registry import query
-from recall_queries.views import LEARNER, SINGLE_SESSION_TRIES_SQL, TRIES_SQL, VOCAB_SQL, table, tries, vocab
+from recall_queries.views import LEARNER, SINGLE_SESSION_TRIES_SQL, TRIES_SQL, VOCAB_SQL, session_tries, table, tries, vocab
 from recall_engine.operators import reports, review
 from recall_engine.sources import files
 from recall_engine.staging import new_path, stage
@@ -23,7 +23,7 @@ LOG_COLUMNS = (
 
 def _log_files(spark, sf):
     """The tries as a CSV log of 13 columns in time order."""
-    log = tries(spark, sf).withColumns({"score_before": F.lit(0.0), "score_before_other_language": F.lit(0.0)})
+    log = session_tries(spark, sf, [])
     path = new_path(spark, "log")
     files.write_csv(log.orderBy(ID).select(*LOG_COLUMNS), path)
     return path
@@ -33,13 +33,13 @@ def _log_files(spark, sf):
     "s1_read_tries",
     f"""WITH {SINGLE_SESSION_TRIES_SQL} SELECT id_historical_data, id_vocab, german_word, english_word, language_asked, result,
       guess, question_time, write_it_again, CAST(confused_word AS BIGINT) AS confused_word, is_it_another_word,
-      id_session, strftime(day, '%Y-%m-%d') AS day, CAST(epoch_us(datetime) AS BIGINT) AS micros FROM fx_session_tries""",
+      round(score_before, 6) AS score_before, round(score_before_other_language, 6) AS score_before_other_language, id_session, strftime(day, '%Y-%m-%d') AS day, CAST(epoch_us(datetime) AS BIGINT) AS micros FROM fx_session_tries""",
 )
 def s1(spark, sf):
     read = files.read_tries(spark, _log_files(spark, sf))
     return read.select(
         ID,
-        *[c for c in LOG_COLUMNS if c not in ("datetime", "score_before", "score_before_other_language")],
+        *[c for c in LOG_COLUMNS if c != "datetime"],
         "id_session",
         F.date_format("day", "yyyy-MM-dd").alias("day"),
         # wall-clock time of the log, whatever the session zone is
@@ -71,20 +71,20 @@ def s3(spark, sf):
 @query(
     "s4_read_word_lists",
     f"""WITH {vocab_queries.LISTS_SQL} SELECT "German", "English", CAST(difficulty_category AS BIGINT) AS difficulty_category,
-      CASE WHEN difficulty_category < 4 THEN CAST(difficulty_category AS BIGINT) END AS "Score" FROM fx_lists""",
+      CASE WHEN difficulty_category < 4 OR id_vocab % 2 = 0 THEN CAST(difficulty_category AS BIGINT) END AS "Score" FROM fx_lists""",
 )
 def s4(spark, sf):
     folder = new_path(spark, "lists")
     points = F.col("difficulty_category")
     lists = vocab_queries.word_lists(spark, sf)
-    # Two lists come without the score columns, as the course lists do.
+    # Two lists come without the score columns, as the course lists do; each shares its points with a list that has them.
+    plain = F.col("id_vocab") % 2 == 1
     name = (
-        F.when(points == 4, "a1_2").when(points == 5, "a1_1").when(points < 0, F.concat(F.lit("Minus"), -points, F.lit("points")))
+        F.when(plain & (points == 4), "a1_2").when(plain & (points == 5), "a1_1").when(points < 0, F.concat(F.lit("Minus"), -points, F.lit("points")))
         .otherwise(F.concat(points.cast("string"), F.lit("points")))
     )
     named = stage(lists.withColumn("name", name), "lists")
-    wanted = {n: p for n, p in files.LIST_POINTS.items() if n not in ("4points", "5points")}
-    for list_name in wanted:
+    for list_name in files.LIST_POINTS:
         rows = named.filter(F.col("name") == list_name)
         columns = ["German", "English"]
         if not list_name.startswith("a"):
@@ -93,7 +93,7 @@ def s4(spark, sf):
             )
             columns += ["Score", "SucceedSession", "Succeed", "TrySession", "Retry"]
         files.write_csv(rows.select(*columns), f"{folder}/{list_name}.csv")
-    return files.read_word_lists(spark, folder, wanted).select("German", "English", "difficulty_category", "Score")
+    return files.read_word_lists(spark, folder).select("German", "English", "difficulty_category", "Score")
 
 
 @query(
