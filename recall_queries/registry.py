@@ -16,6 +16,7 @@ MODULES = (
     "dataset_queries",
     "stream_queries",
     "model_queries",
+    "proof_queries",
 )
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
