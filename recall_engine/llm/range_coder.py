@@ -325,8 +325,22 @@ def token_files(docs: DataFrame, path: str, id_col: str, text_col: str, docs_per
     return rows.repartition("_file").sortWithinPartitions("_file", "_id", "_text").mapInArrow(kernel, "file long, payload binary")
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """``file``, ``_id``, ``_first`` (its first token in the file), ``n_tokens`` and ``ids_crc32`` of every document in the files."""
+def write_files(
+    docs: DataFrame,
+    folder: str,
+    path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    docs_per_file: int = DOCS_PER_FILE,
+    end_id: int = END_ID,
+) -> None:
+    """Write the token files of ``docs`` to ``folder`` (``file``, ``payload``), where they stay; an existing folder is an error."""
+    token_files(docs, path or token_path(), id_col, text_col, docs_per_file, end_id).write.parquet(folder)
+
+
+def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
+    """``file``, ``_id``, ``_first`` (its first token in the file), ``n_tokens`` and ``ids_crc32`` of every document in the files,
+    and, ``with_ids``, its decoded ``ids`` with the end id."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,19 +355,21 @@ def read_files(files: DataFrame) -> DataFrame:
                     ends = np.cumsum(counts, dtype=np.int64)
                     firsts = ends - counts.astype(np.int64)
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(docs), number)),
-                            pa.array(docs),
-                            pa.array(firsts),
-                            pa.array(counts.astype(np.int64)),
-                            pa.array(crc, pa.int64()),
-                        ],
-                        names=["file", "_id", "_first", "n_tokens", "ids_crc32"],
-                    )
+                    columns = {
+                        "file": pa.array(np.full(len(docs), number)),
+                        "_id": pa.array(docs),
+                        "_first": pa.array(firsts),
+                        "n_tokens": pa.array(counts.astype(np.int64)),
+                        "ids_crc32": pa.array(crc, pa.int64()),
+                    }
+                    if with_ids:
+                        edges = pa.array(np.append(0, ends).astype(np.int32))
+                        columns["ids"] = pa.ListArray.from_arrays(edges, pa.array(np.asarray(ids).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 start = stop
 
-    return files.select("file", "payload").mapInArrow(kernel, "file long, _id long, _first long, n_tokens long, ids_crc32 long")
+    schema = "file long, _id long, _first long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    return files.select("file", "payload").mapInArrow(kernel, schema)
 
 
 def write_and_read(

@@ -56,3 +56,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted((r.doc_id, r.start, r.n_tokens) for r in coder.write_and_read(docs).collect())
     assert got == [(1, 0, 2), (1, 2, 2), (2, 4, 2)]
     assert coder.write_and_read(docs.limit(0)).collect() == []
+
+
+def test_files_stay_and_give_the_ids_back(spark, tmp_path):
+    texts = {1: "the quick brown fox", 2: None, 3: "", 700: "jumps over the lazy dog " * 300, 701: "the quick brown fox"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    coder.write_files(docs, f"{tmp_path}/tokens")
+    files = spark.read.parquet(f"{tmp_path}/tokens")
+    got = {r._id: list(r.ids) for r in coder.read_files(files, with_ids=True).collect()}
+    want = [ids.tolist() for ids in coder.token_ids([t or "" for t in texts.values()], coder.token_path())]
+    assert got == {i: [*ids, coder.END_ID] for i, ids in zip(texts, want, strict=True)}
+    assert "ids" not in coder.read_files(files).columns
