@@ -142,3 +142,30 @@ def test_no_filter_computes_a_measure_twice(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = rules.judge_quality(docs, docs.select("doc_id").limit(0), least=0.0).filter("kept")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(trim") == 1
+
+
+def test_every_trusted_document_counts_in_the_target(spark):
+    """Far more of them than a bounded sample would take: 52,000 of 104,000 one-word texts fit the target."""
+    docs = spark.range(110_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 104_000, "plain").otherwise("junk").alias("text"))
+    good = docs.filter("text = 'plain'").select("doc_id")
+    fits = good.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0).count()
+    assert fits > 50_000
+    share = 104_000 / 110_000
+    want = math.log((fits + rules.BUCKETS * share) / (fits + rules.BUCKETS) / share)
+    assert abs(rules.judge_quality(docs, good).filter("doc_id = 7").first().score - want) < 1e-6
+
+
+def test_every_held_out_document_counts_in_the_threshold(spark):
+    """Some 6,000 held-out texts of mixed words, and as many others whose shares of foreign words take all values."""
+    word = lambda i, n: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(n)))
+    foreign = lambda i: F.pmod(F.xxhash64(i, "id"), F.lit(12_000)) < F.col("id") - 12_000
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.when(foreign(i), F.concat(F.lit("x"), word(i, 300))).otherwise(word(i, 300)))
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    rows = rules.judge_quality(docs, docs.filter("doc_id < 12000").select("doc_id")).select("doc_id", "score", "base_failed", "kept").collect()
+    fits = fitted(spark, range(12_000))
+    held = sorted(r.score for r in rows if r.doc_id < 12_000 and r.doc_id not in fits and not r.base_failed)
+    assert len(held) > 5_000
+    low = quantile(held, rules.LOW)
+    least = low - rules.SLACK * (quantile(held, 0.5) - low)
+    assert [r.doc_id for r in rows if r.kept != (not r.base_failed and r.score >= least)] == []
+    assert 0 < sum(r.kept for r in rows if r.doc_id >= 12_000) < 12_000
