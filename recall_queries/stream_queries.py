@@ -191,7 +191,9 @@ def r2_stream(spark, sf):
 @query("r2_update_vocab_stream_per_learner", vocab_queries.R2_LEARNER_SQL)
 def r2_stream_per_learner(spark, sf):
     """Five micro-batches of one log, one of them twice, with folds between; a try counts for its learner alone."""
-    words, tried = vocab_queries.learner_words(spark, sf), tries(spark, sf)
+    # Written once: every batch would join, and broadcast, the dictionary again.
+    tried = stage(tries(spark, sf).select(*LEARNER, ID, "id_vocab", "german_word", "english_word", "language_asked", "guess"), "tries")
+    words = vocab_queries.learner_words(spark, sf, tried)
     log = review_stream.VocabLog(words, new_path(spark, "vocab"), LEARNER, every=2)
     for batch in (0, 1, 2, 2, 3, 4):
         log.update(tried.filter(F.col(ID) % 5 == batch), batch)

@@ -56,15 +56,15 @@ PREDICTIONS_SQL = """fx_predictions AS (
   FROM fx_vocab)"""
 
 
-def deck(spark, sf):
-    """The words that each learner was ever asked."""
-    return tries(spark, sf).select("learner_id", "id_vocab").distinct()
+def deck(spark, sf, log=None):
+    """The words that each learner was ever asked; ``log`` are their tries, if they are at hand."""
+    return (tries(spark, sf) if log is None else log).select("learner_id", "id_vocab").distinct()
 
 
-def learner_words(spark, sf):
+def learner_words(spark, sf, log=None):
     """The vocabulary of every learner: the words of their deck with scores, flags and probabilities of their own."""
     key, learner = F.col("id_vocab"), F.col("learner_id")
-    return deck(spark, sf).select(
+    return deck(spark, sf, log).select(
         "learner_id",
         "id_vocab",
         ((key + learner) % 7 - 3).cast("long").alias("score_german_english"),

@@ -77,3 +77,15 @@ def test_gap_of_exactly_twelve_hours_is_one_session(make_tries):
     df = make_tries([{"datetime": day(1, 6)}, {"datetime": day(1, 18)}, {"datetime": day(2, 6, 1)}])
     got = sorted(r.tries for r in review_stream.session_progress(df, ["learner_id"]).collect())
     assert got == [1, 2]
+
+
+def test_batches_of_learners_read_written_tries(spark, sf_dir, monkeypatch):
+    """The dictionary is joined once for all batches, not once for each."""
+    read, update = [], review_stream.VocabLog.update
+    monkeypatch.setattr(review_stream.VocabLog, "update", lambda log, tries, batch: (read.append(tries.inputFiles()), update(log, tries, batch))[1])
+    words = stream_queries.r2_stream_per_learner(spark, sf_dir)
+    assert len(read) == 6 and all(read)
+    assert not [f for found in [*read, words.inputFiles()] for f in found if f.endswith(("part.parquet", "events.parquet"))]
+    tried = views.tries(spark, sf_dir)
+    again = review.update_vocab(vocab_queries.learner_words(spark, sf_dir), tried, ["learner_id"]).select(words.columns)
+    assert rows(words) == rows(again)
