@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from recall_engine.operators import metrics, prep
 from recall_engine.operators.oversampling import smote
+from recall_engine.plans import newton
 from recall_engine.plans.rounds import boost
 from recall_engine.schemas import FEATURES, FeatureSpec
 from recall_engine.staging import stage
@@ -285,11 +286,16 @@ def eliminate_features(
 
     ``training`` has the vector ``all``; importance is the squared weight, or what a tree model reports.
     ``step`` is how many inputs a round drops, as a number or a share. Returns (name, rank); kept ones
-    have rank 1, the last dropped one rank 2. The loop runs over fits, never over rows.
+    have rank 1, the last dropped one rank 2. The loop runs over fits, never over rows. A logistic classifier that
+    runs to its optimum is fitted in Newton steps, each round from the weights of the one before.
     """
     left = list(range(len(names)))
     dropped: list[list[int]] = []
     width = step if step >= 1 else max(1, int(step * len(names)))
+    if len(left) > keep and newton.reaches_optimum(classifier):
+        dropped = newton.eliminate(training, len(names), keep, classifier.getRegParam(), int(width), classifier.getLabelCol()) or []
+        gone = {i for group in dropped for i in group}
+        left = [i for i in left if i not in gone]
     while len(left) > keep:
         sliced = VectorSlicer(inputCol="all", outputCol="kept", indices=left).transform(training)
         fitted = classifier.fit(sliced)

@@ -2,13 +2,13 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import functions as F
 
 from recall_queries import dataset_queries, views
 from recall_engine.operators import datasets, oversampling, prep, reports
 from recall_engine.operators.global_order import dense_id
-from recall_engine.plans import models, rounds, search
+from recall_engine.plans import models, newton, rounds, search
 from recall_engine.schemas import FeatureSpec
 from recall_engine.staging import stage
 
@@ -60,6 +60,29 @@ def test_elimination_drops_noise_first(points):
     assert ranking["a"] == ranking["b"] == 1 and {ranking["c"], ranking["noise"]} == {2, 3}
 
 
+def test_elimination_by_newton_steps_ranks_as_fits_from_zero(spark):
+    """The optimum of every round, in a few passes over the rows rather than a fit's worth of them."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(600, 7))
+    x[:, 5] = x[:, 0] + x[:, 1]  # no curvature of its own
+    x[:, 6] = 0.0
+    y = (x[:, :5] @ [3.0, -2.0, 1.0, 0.5, 0.25] + draw.logistic(size=600) > 1.0).astype(float)
+    rows = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], ", ".join(f"x{i} double" for i in range(7)) + ", label double")
+    training = VectorAssembler(inputCols=[f"x{i}" for i in range(7)], outputCol="all").transform(rows).select("all", "label")
+    classifier = models.logistic(models.LogisticSettings(), 600, "kept")
+    assert newton.reaches_optimum(classifier) and not newton.reaches_optimum(models.logistic(models.LogisticSettings(max_iter=20), 600))
+    curved = newton.Curved(training, 7, classifier.getRegParam())
+    weights, _ = curved.optimum(range(7), np.zeros(8))
+    fitted = classifier.copy().setFeaturesCol("all").setTol(1e-12).fit(training)
+    assert weights == pytest.approx([*fitted.coefficients.toArray(), fitted.intercept], abs=1e-4) and curved.passes < 12
+    left, ranks = list(range(7)), {}
+    while len(left) > 1:
+        part = VectorSlicer(inputCol="all", outputCol="kept", indices=left).transform(training)
+        found = classifier.fit(part).coefficients.toArray() ** 2
+        ranks[left.pop(min(range(len(left)), key=lambda i: (found[i], i)))] = len(left)
+    assert dict(models.eliminate_features(training, [f"x{i}" for i in range(7)], 1, classifier)) == {f"x{i}": r for i, r in (ranks | {left[0]: 1}).items()}
+
+
 def test_logistic_model_saves_and_loads(spark, rows, tmp_path):
     model = models.fit_logistic(rows.filter("split = 'train'"), models.LogisticSettings(keep=54, max_iter=30))
     held = rows.filter("split <> 'train'")
