@@ -223,6 +223,16 @@ def test_neighbours_are_exact(spark, kind, block):
             assert got[i] == found
 
 
+def test_visits_carry_no_inputs_and_rough_distances_decide_nothing(spark):
+    """Visits are numbers; far from the origin the expanded square is off by whole units, the neighbours are not."""
+    draw = np.random.default_rng(11)
+    x = np.unique(draw.integers(0, 6, (300, 3)), axis=0) + 1e6
+    visits, _, found = oversampling._search(as_points(spark, x), 4, 16, None)
+    assert set(visits.columns) == {"place", "home", "other"} and "x" not in found.select(F.inline("nearest")).columns
+    got = {r.place: [(n.square, n.near) for n in r.nearest] for r in oversampling.nearest_neighbours(as_points(spark, x), 4, 16).collect()}
+    assert [got[i] for i in range(len(x))] == brute_neighbours(x, 4)
+
+
 def test_only_seekers_search_and_few_points_have_fewer(spark):
     x = np.arange(4.0)[:, None]
     points = as_points(spark, x)
