@@ -166,3 +166,18 @@ def test_ranks_share_and_no_window_is_unpartitioned(spark):
     done = datasets.session_ranks(sessions)
     assert sorted((r.id_session, r.session_rank, r.nb_sessions) for r in done.collect()) == [(i, i, 7) for i in range(7)]
     assert "SinglePartition" not in datasets.split_by_session(sessions)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
+def test_scaler_takes_the_moments_of_many_columns_in_two_aggregates(spark):
+    names = [f"x{i}" for i in range(60)]
+    df = spark.range(50).select(*[F.when(F.col("id") % 7 != i % 7, (F.col("id") * (i + 1) % 11).cast("double")).alias(n) for i, n in enumerate(names)], F.lit(None).cast("double").alias("never"))
+    widths = []
+    with pytest.MonkeyPatch.context() as patch:
+        true = type(df).agg
+        patch.setattr(type(df), "agg", lambda self, *parts: widths.append(len(parts)) or true(self, *parts))
+        fitted = prep.Scaler.fit(df, [*names, "never"])
+    assert not widths  # no aggregate a column side by side
+    row = df.agg(*[f(n).alias(f"{n}{t}") for n in names for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    assert fitted.moments["never"] == (None, 1.0)
+    for n in names:
+        assert fitted.moments[n] == pytest.approx((row[f"{n}m"], row[f"{n}s"] or 1.0))
