@@ -147,6 +147,28 @@ def test_rounds_end_while_training(rows):
     assert best == model.losses.index(min(model.losses)) + 1
 
 
+def test_losses_are_taken_when_training_could_end(rows, monkeypatch):
+    """One pass over the held-out rows where the patience is longer than the rounds; the losses are those of every round."""
+    passes, taken = [], rounds._losses
+    monkeypatch.setattr(rounds, "_losses", lambda *a: passes.append(len(a[1])) or taken(*a))
+    train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+    model = models.fit_boosting(train, models.BoostingSettings(trees=4, learning_rate=0.6, max_depth=3), valid)
+    assert passes == [4] and len(model.losses) == model.fits == 4
+    held = model.preprocess(valid).withColumn("label", F.col("result").cast("double"))
+    assembler, trees = model.pipeline.stages
+    kept = trees.getNumTrees
+    assert trees.evaluateEachIteration(assembler.transform(held)) == pytest.approx(model.losses[:kept])
+
+
+def test_wide_rows_are_compiled(spark, sf_dir):
+    """A query sets the limit on generated methods above which the JVM would not compile them."""
+    from recall_queries import registry
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    registry.queries()["m1_prior_classifier"](spark, sf_dir)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_bags_and_leaves(spark):
     df = spark.range(4000).withColumn("tag", F.xxhash64("id"))
     taken = [
