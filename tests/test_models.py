@@ -160,6 +160,26 @@ def test_losses_are_taken_when_training_could_end(rows, monkeypatch):
     assert trees.evaluateEachIteration(assembler.transform(held)) == pytest.approx(model.losses[:kept])
 
 
+def test_held_out_rows_score_as_predicted(rows):
+    train, valid = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    valid = valid.withColumn("language_asked", F.when(F.col("id_historical_data") % 7 == 0, "french").otherwise(F.col("language_asked")))
+    prepared = models.prepare_boosting(train, valid)
+    fitted = models.train_boosting(prepared, models.BoostingSettings(trees=3, learning_rate=0.6, max_depth=3), keep=9)
+    count = lambda df: sorted(map(tuple, df.groupBy("y_true", "y_pred").count().collect()))
+    predicted = fitted.predict(valid.filter("result IS NOT NULL")).withColumn("y_true", F.col("result").cast("double"))
+    assert count(models.score_held(fitted, prepared)) == count(predicted)
+
+
+def test_folds_lie_in_folders(spark):
+    """A fold is read without the rows of the others, and columns keep their order and type."""
+    df = spark.createDataFrame([(0, "train", 1.5), (1, "train", 2.5), (1, "valid", None)], "fold INT, role STRING, x DOUBLE")
+    staged = stage(df, "folds", folders=["fold", "role"])
+    assert staged.schema == df.schema and sorted(map(tuple, staged.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    one = staged.filter("fold = 1 AND role = 'train'")
+    assert len({r[0] for r in one.select(F.input_file_name()).collect()}) == 1
+    assert "PartitionFilters: [isnotnull(fold" in one._jdf.queryExecution().toString()
+
+
 def test_wide_rows_are_compiled(spark, sf_dir):
     """A query sets the limit on generated methods above which the JVM would not compile them."""
     from recall_queries import registry
