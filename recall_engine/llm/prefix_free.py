@@ -5,16 +5,17 @@ of equals). Consecutive strings of a document with the same trigger make a phras
 overlap by ``LENGTH - 1`` bytes, so each string lies in exactly one phrase and equal strings have equal triggers.
 
 1. Triggers that one document alone holds are left out: nothing around them repeats.
-2. The dictionary holds each distinct phrase around the other triggers once, with the smallest id of a document
-   that has it; the parse holds where each document has which phrase.
-3. Order: suffixes of the dictionary are grouped by their first ``LENGTH`` bytes. Under a trigger with a single phrase
-   every suffix stands alone and belongs to the phrase's first document; only triggers with several phrases
-   have their suffixes written out and brought together. To this depth the overlap lets the dictionary decide by
-   itself, so of the parse only the places are needed, not a suffix array of its own.
+2. The dictionary holds each distinct phrase around the other triggers once per group of documents, with the smallest id
+   of a document that has it; the parse, where each document has which phrase, is made again from the text.
+3. Order: suffixes of the dictionary are grouped by their first ``LENGTH`` bytes, trigger by trigger, inside tasks. To this
+   depth the overlap lets the dictionary decide by itself, so of the parse only the places are needed, not a suffix
+   array of its own.
 4. The parse carries the first document of every string back to the documents.
 
-Copies of a document add rows to the parse, but none to the dictionary. Nothing is grouped without being aggregated
-before its shuffle; joins are equi-joins that Spark can split.
+Documents are dealt into groups by a hash, triggers into buckets by theirs; both numbers follow the bytes of the table. What goes
+between a group and a bucket is one row of packed arrays, so disk holds hashes, distinct phrases and a bit per string, never a
+row per string. A trigger is sent once per group, a phrase once per group, however many copies of a document there are. The distinct
+phrases around one trigger meet in one task.
 
 Defined cases: null and empty texts and texts shorter than ``LENGTH`` bytes lose nothing; rows with a null id lose
 nothing and do not count; rows that share an id are one document (nothing repeats inside it) and each row has its
@@ -24,6 +25,7 @@ own places; an empty table gives an empty one. Other columns stay; columns named
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +36,46 @@ from pyspark.sql import types as T
 
 from recall_engine.llm.common import Scratch, bytes_of, powers, sliced, table, texts_of
 from recall_engine.llm.registry import query
+from recall_engine.operators import global_order
 
 LENGTH, GRAM = 50, 16
 _BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: One random 64-bit value for each byte.
-_VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = 0x9E6C63D0876A9A63
+#: One random 64-bit value for each byte, for each of two hashes.
+_VALUE, _VALUE_2 = (np.random.default_rng(n).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (23, 29))
 _PLACE_BITS = 28
+#: Bytes of text for each group of documents and for each bucket of triggers, and the least number of both.
+GROUP_BYTES, BUCKET_BYTES, LEAST = 16 << 20, 8 << 20, 64
+#: Text that the arrays of a kernel cover at a time (they are several times larger), and triggers a task holds before it sends them.
+KERNEL_BYTES, HELD = 256 << 10, 1 << 21
 _KEY = ["_id", "_text_hash"]
 
 
-def rolling_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(28)
+    return x
+
+
+def _sums(data: np.ndarray, base: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of all bytes, and the factors that take the place out of a difference of two."""
+    bits = max(12, len(data).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * powers(base, bits)[: len(data)], out=sums[1:])
+    return sums, powers(pow(base, -1, 1 << 64), bits)
+
+
+def rolling_hashes(data: np.ndarray, gram: int, base: int = _BASE, value: np.ndarray = _VALUE) -> np.ndarray:
     """A 64-bit hash of every ``gram`` bytes, from one running sum."""
-    n = len(data)
-    bits = max(12, n.bit_length())
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(_BASE, bits)[:n], out=sums[1:])
-    out = (sums[gram:] - sums[:-gram]) * powers(_INVERSE, bits)[: n + 1 - gram]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0x9FB21C651E98DF25)
-    out ^= out >> np.uint64(28)
-    return out
+    sums, factors = _sums(data, base, value)
+    return _mixed((sums[gram:] - sums[:-gram]) * factors[: len(data) + 1 - gram])
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, which no range is empty of."""
+    sums, factors = _sums(data, _BASE_2, _VALUE_2)
+    return _mixed((sums[ends] - sums[starts]) * factors[starts] + (ends - starts).astype(np.uint64))
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -98,89 +119,257 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
 
 
-def trigger_table(plain: DataFrame, length: int, gram: int) -> DataFrame:
-    """``_id``, ``_text_hash``, ``_trigger`` (hash) and ``_at`` (its place in the text) of every phrase."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, one after the other, compressed."""
+    raw = b"".join([a.tobytes() for a in arrays])
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
-            data, offsets = bytes_of(texts_of(batch.column(2)))
-            hashes, places, _, _, owner = phrases(data, offsets, length, gram)
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array((places - offsets[owner]).astype(np.int32)),
-                ],
-                names=[*_KEY, "_trigger", "_at"],
-            )
-
-    kind = plain.schema["_id"].dataType.simpleString()
-    return plain.mapInArrow(kernel, f"_id {kind}, _text_hash long, _trigger long, _at int")
-
-
-def phrase_table(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """The phrases whose trigger stands at one of the row's ``_places``, with their bytes."""
+
+def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays, of equal length and of these dtypes, that were packed."""
+    (size,) = struct.unpack_from("<q", payload)
+    raw = pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    n = size // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _joined(payloads: pa.ChunkedArray, *kinds: str) -> list[np.ndarray]:
+    parts = [_unpacked(p, *kinds) for p in payloads.to_pylist()]
+    return [np.concatenate([np.zeros(0, kind), *[part[i] for part in parts]]) for i, kind in enumerate(kinds)]
+
+
+def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _bucket(triggers: np.ndarray, buckets: int) -> np.ndarray:
+    """Grows with the trigger's hash."""
+    return (((triggers >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def _parse(texts: pa.RecordBatch | pa.Table, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes, trigger, first byte, end, row and start of the row of every phrase, for a slice of ``_text`` after the other."""
+    row = 0
+    for batch in sliced(iter(texts.to_batches() if isinstance(texts, pa.Table) else [texts]), "_text", KERNEL_BYTES):
+        data, offsets = bytes_of(texts_of(batch.column(batch.schema.get_field_index("_text"))))
+        hashes, _, starts, counts, owner = phrases(data, offsets, length, gram)
+        # The least hash of many is small; triggers are hashed again to spread over buckets.
+        yield data, _mixed(hashes * np.uint64(_BASE_2)), starts, starts + counts + (length - 1), row + owner, offsets[owner]
+        row += batch.num_rows
+
+
+def trigger_blocks(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """``_bucket`` and ``_block``: packed triggers, groups, and the least id in the group with what the largest one adds to it."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
-            data, offsets = bytes_of(texts_of(batch.column(2)))
-            hashes, places, starts, counts, owner = phrases(data, offsets, length, gram)
-            lists = batch.column(3)
-            wanted = np.asarray(lists.flatten()) + np.repeat(offsets[:-1], np.asarray(lists.value_lengths()))
-            some = np.isin(places, wanted)
-            hashes, starts, counts, owner = (x[some] for x in (hashes, starts, counts, owner))
-            raw, rows = data.tobytes(), pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array((starts - offsets[owner]).astype(np.int32)),
-                    pa.array(counts.astype(np.int32)),
-                    pa.array([raw[a:b] for a, b in zip(starts.tolist(), (starts + counts + length - 1).tolist(), strict=True)], pa.binary()),
-                ],
-                names=[*_KEY, "_trigger", "_start", "_count", "_bytes"],
-            )
-
-    kind = marked.schema["_id"].dataType.simpleString()
-    return marked.mapInArrow(kernel, f"_id {kind}, _text_hash long, _trigger long, _start int, _count int, _bytes binary")
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            triggers, groups, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((groups, triggers))
+            triggers, groups, ids = triggers[order], groups[order], ids[order]
+            at = _firsts(triggers, groups)
+            low, high = (f.reduceat(ids, at) if len(at) else ids for f in (np.minimum, np.maximum))
+            triggers, groups = triggers[at], groups[at]
+            edges = np.searchsorted(_bucket(triggers, buckets), np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges))
+            blocks = [_packed(triggers[a:b], groups[a:b], low[a:b], high[a:b] - low[a:b]) for a, b in zip(edges[some], edges[some + 1], strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], names=["_bucket", "_block"])
+
+        for batch in batches:
+            ids, groups = (np.asarray(batch.column(i)) for i in (0, 1))
+            for _, triggers, _, _, owner, _ in _parse(batch, length, gram):
+                held.append((triggers, groups[owner], ids[owner]))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    return rows.select("_order", "_group", "_text").mapInArrow(kernel, "_bucket int, _block binary")
+
+
+def shared_triggers(blocks: DataFrame) -> DataFrame:
+    """``_group`` and ``_triggers``: packed triggers of the group that several documents have."""
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        triggers, groups, low, span = _joined(rows["_block"], "<u8", "<i4", "<i8", "<i8")
+        order = np.argsort(triggers, kind="stable")
+        triggers, groups, low, high = triggers[order], groups[order], low[order], (low + span)[order]
+        at = _firsts(triggers)
+        several = np.minimum.reduceat(low, at) < np.maximum.reduceat(high, at)
+        several = np.repeat(several, np.diff(np.append(at, len(triggers))))
+        triggers, groups = triggers[several], groups[several]
+        order = np.lexsort((triggers, groups))
+        triggers, groups = triggers[order], groups[order]
+        at = _firsts(groups, triggers)
+        triggers, groups = triggers[at], groups[at]
+        at = _firsts(groups)
+        packed = [_packed(triggers[a:b]) for a, b in zip(at, np.append(at[1:], len(groups)), strict=True)]
+        return pa.table({"_group": pa.array(groups[at]), "_triggers": pa.array(packed, pa.binary())})
+
+    return blocks.groupBy("_bucket").applyInArrow(kernel, "_group int, _triggers binary")
+
+
+def _member(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+def dictionaries(rows: DataFrame, shared: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """``_bucket``, ``_group``, ``_heads`` (least id and size of each distinct phrase of the group) and ``_bodies`` (their bytes, in a row)."""
+
+    def kernel(docs: pa.Table, known: pa.Table) -> pa.Table:
+        wanted = np.sort(_joined(known["_triggers"], "<u8")[0])
+        ids = np.asarray(docs["_order"])
+        found, bodies = [], []
+        for data, triggers, starts, ends, owner, _ in _parse(docs, length, gram) if len(wanted) else ():
+            some, _ = _member(triggers, wanted)
+            starts, ends, raw = starts[some], ends[some], data.tobytes()
+            found.append((triggers[some], range_hashes(data, starts, ends), ids[owner[some]]))
+            bodies += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        out = {"_bucket": pa.array([], pa.int32()), "_group": pa.array([], pa.int32()), "_heads": pa.array([], pa.binary()), "_bodies": pa.array([], pa.binary())}
+        if not bodies:
+            return pa.table(out)
+        triggers, keys, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, keys))
+        order = order[_firsts(keys[order])]
+        order = order[np.argsort(triggers[order], kind="stable")]
+        edges = np.searchsorted(_bucket(triggers[order], buckets), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edges))
+        heads, packed = [], []
+        for a, b in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
+            part = [bodies[i] for i in order[a:b].tolist()]
+            heads.append(_packed(ids[order[a:b]], np.array([len(x) for x in part], np.int32)))
+            packed.append(_packed(np.frombuffer(b"".join(part), np.uint8)))
+        group = np.full(len(some), docs["_group"][0].as_py(), np.int32)
+        arrays = [pa.array(some.astype(np.int32)), pa.array(group), pa.array(heads, pa.binary()), pa.array(packed, pa.binary())]
+        return pa.table(dict(zip(out, arrays, strict=True)))
+
+    left = rows.select("_order", "_group", "_text").groupBy("_group")
+    return left.cogroup(shared.groupBy("_group")).applyInArrow(kernel, "_bucket int, _group int, _heads binary, _bodies binary")
+
+
+def earlier_strings(dictionary: DataFrame, length: int, gram: int) -> DataFrame:
+    """``_group``, ``_keys`` (hashes of its phrases) and ``_bits``: for every string of the phrase, whether a document has it whose id
+    is below the least one that the group has for the phrase. Phrases without such a string are left out."""
+    width = length - gram + 1
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        keys, low, counts, one, two = [], [], [], [], []
+        for heads, bodies in zip(rows["_heads"].to_pylist(), rows["_bodies"].to_pylist(), strict=True):
+            least, sizes = _unpacked(heads, "<i8", "<i4")
+            (data,) = _unpacked(bodies, "u1")
+            ends = np.cumsum(sizes, dtype=np.int64)
+            n = sizes.astype(np.int64) - (length - 1)
+            keys.append(range_hashes(data, ends - sizes, ends))
+            place = np.arange(n.sum()) + np.repeat(ends - sizes - np.cumsum(n) + n, n)
+            low.append(least)
+            counts.append(n)
+            one.append(rolling_hashes(data, length)[place])
+            two.append(rolling_hashes(data, length, _BASE_2, _VALUE_2)[place])
+        sizes = np.array([len(k) for k in keys])
+        keys, low, counts, one, two = (np.concatenate(x) for x in (keys, low, counts, one, two))
+        phrase = np.repeat(np.arange(len(keys)), counts)
+        order = np.argsort(one)
+        at = _firsts(one[order])
+        if len(_firsts(one[order], two[order])) != len(at):  # two strings share the first hash
+            order = np.lexsort((two, one))
+            at = _firsts(one[order], two[order])
+        ids = low[phrase]
+        least = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.append(at, len(order))))
+        gone = order[least < ids[order]]
+        bits = np.zeros((len(keys), width), bool)
+        bits[phrase[gone], gone - (np.cumsum(counts) - counts)[phrase[gone]]] = True
+        some = bits.any(axis=1)
+        packed = np.packbits(bits, axis=1)
+        ends = np.cumsum(sizes)
+        parts = [(g, np.arange(a, b)[some[a:b]]) for g, a, b in zip(rows["_group"].to_pylist(), ends - sizes, ends, strict=True)]
+        parts = [(g, at) for g, at in parts if len(at)]
+        return pa.table(
+            {
+                "_group": pa.array([g for g, _ in parts], pa.int32()),
+                "_keys": pa.array([_packed(keys[at]) for _, at in parts], pa.binary()),
+                "_bits": pa.array([_packed(packed[at]) for _, at in parts], pa.binary()),
+            }
+        )
+
+    return dictionary.groupBy("_bucket").applyInArrow(kernel, "_group int, _keys binary, _bits binary")
+
+
+def text_runs(rows: DataFrame, earlier: DataFrame, length: int, gram: int) -> DataFrame:
+    """``_id``, ``_text_hash`` and ``_runs`` of the rows that lose something, once each."""
+    width = length - gram + 1
+    runs_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def kernel(docs: pa.Table, known: pa.Table) -> pa.Table:
+        ids, texts = np.asarray(docs["_order"]), np.asarray(docs["_text_hash"])
+        if len(ids):
+            order = np.lexsort((texts, ids))
+            docs = docs.take(pa.array(np.sort(order[_firsts(ids[order], texts[order])])))
+            ids = np.asarray(docs["_order"])
+        parts = [(range_hashes(data, starts, ends), starts - zero, ends - zero, row) for data, _, starts, ends, row, zero in _parse(docs, length, gram) if len(starts)]
+        none = np.zeros(0, np.int64)
+        key, start, end, row = (np.concatenate(x) for x in zip((none.view(np.uint64), none, none, none), *parts, strict=True))
+        order = np.lexsort((ids[row], key))
+        at = _firsts(key[order])
+        least = np.empty(len(key), np.int64)
+        least[order] = np.repeat(ids[row][order][at], np.diff(np.append(at, len(key))))
+        # A phrase that the group has earlier goes whole; else its strings that other groups have earlier.
+        later = ids[row] > least
+        keys = _joined(known["_keys"], "<u8")[0]
+        bits = _joined(known["_bits"], "u1")[0].reshape(len(keys), -(-width // 8))
+        order = np.argsort(keys)
+        hit, place = _member(key, keys[order])
+        hit = np.flatnonzero(hit & ~later)
+        which, i = np.nonzero(np.unpackbits(bits[order][place[hit]], axis=1, count=width)) if len(hit) else (none, none)
+        a = np.concatenate([start[later], start[hit[which]] + i])
+        b = np.concatenate([end[later], start[hit[which]] + i + length])
+        owner = np.concatenate([row[later], row[hit[which]]])
+        order = np.lexsort((a, owner))
+        a, b, owner = a[order], b[order], owner[order]
+        # Overlapping and touching ranges are joined: a new one begins behind all ends of the row so far.
+        far = owner << 32
+        reach = np.maximum.accumulate(far + b)
+        new = np.ones(len(a), bool)
+        new[1:] = far[1:] + a[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(a)) - 1
+        begin, stop, owner = a[at], reach[last] - far[last] if len(at) else none, owner[at]
+        at = _firsts(owner)
+        edges = pa.array(np.append(at, len(owner)).astype(np.int32))
+        spans = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["a", "b"])
+        lost = docs.take(pa.array(owner[at]))
+        return pa.table({"_id": lost["_id"], "_text_hash": lost["_text_hash"], "_runs": pa.ListArray.from_arrays(edges, spans).cast(runs_type)})
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    left = rows.select(*_KEY, "_order", "_group", "_text").groupBy("_group")
+    return left.cogroup(earlier.groupBy("_group")).applyInArrow(kernel, f"_id {kind}, _text_hash long, _runs array<struct<a:int,b:int>>")
 
 
 def repeated_runs(plain: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``_id``, ``_text_hash`` and ``_runs``: structs ``a``, ``b`` of byte ranges to remove, in no order."""
-    found = trigger_table(plain, length, gram)
-    shared = found.groupBy("_trigger").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
-    shared = scratch.stage(shared.filter("_low <> _high").select("_trigger"), "shared-triggers")
-    places = found.join(shared, "_trigger", "left_semi").groupBy(*_KEY).agg(F.collect_set("_at").alias("_places"))
-    places = scratch.stage(places, "trigger-places")
-    parse = phrase_table(plain.join(places, _KEY).select(*_KEY, "_text", "_places"), length, gram)
-    parse = scratch.stage(parse.withColumn("_phrase", F.xxhash64("_bytes")), "parse")
-    name = ["_trigger", "_phrase"]
-    dictionary = parse.groupBy(*name).agg(F.min("_id").alias("_first"), F.max("_count").alias("_count"), F.first("_bytes").alias("_bytes"))
-    dictionary = scratch.stage(dictionary, "dictionary")
-    several = dictionary.groupBy("_trigger").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_trigger")
-    suffixes = (
-        dictionary.join(several, "_trigger", "left_semi")
-        .select(*name, "_first", "_bytes", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i"))
-        .select(*name, "_first", "_i", F.expr(f"substring(_bytes, _i + 1, {length})").alias("_string"))
-        .select(*name, "_first", "_i", F.xxhash64("_string").alias("_h1"), F.xxhash64(F.lit(1), "_string").alias("_h2"))
-    )
-    suffixes = scratch.stage(suffixes, "suffixes")
-    order = ["_h1", "_h2"]
-    least = suffixes.groupBy(*order).agg(F.min("_first").alias("_least"))
-    firsts = suffixes.select(*name, "_i", *order).join(least, order).groupBy(*name)
-    firsts = scratch.stage(firsts.agg(F.sort_array(F.collect_list(F.struct("_i", "_least"))).alias("_each")), "suffix-firsts")
-    whole = dictionary.select(*name, "_first").join(firsts, name, "left")
-    placed = parse.select(*_KEY, *name, "_start", "_count").join(whole, name)
-    # Under a single phrase all strings of the run go; else those whose first document comes before.
-    some = F.filter("_each", lambda e: e["_least"] < F.col("_id"))
-    single = F.struct(F.col("_start").alias("a"), (F.col("_start") + F.col("_count") + length - 1).alias("b"))
-    each = F.transform(some, lambda e: F.struct((F.col("_start") + e["_i"]).alias("a"), (F.col("_start") + e["_i"] + length).alias("b")))
-    runs = F.when(F.col("_each").isNotNull(), each).when(F.col("_first") < F.col("_id"), F.array(single)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    gone = placed.select(*_KEY, runs.alias("_runs")).filter(F.size("_runs") > 0)
-    return gone.groupBy(*_KEY).agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    """``_id``, ``_text_hash`` and ``_runs``: structs ``a``, ``b`` of byte ranges to remove, in order and apart."""
+    size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    groups, buckets = (max(LEAST, size // most) for most in (GROUP_BYTES, BUCKET_BYTES))
+    if isinstance(plain.schema["_id"].dataType, T.IntegralType):
+        rows = plain.withColumn("_order", F.col("_id").cast("long"))
+    else:
+        rows = plain.join(global_order.dense_id(plain.select("_id").distinct(), ["_id"], "_order"), "_id")
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(*_KEY), F.lit(groups)).cast("int"))
+    shared = scratch.stage(shared_triggers(trigger_blocks(rows, buckets, length, gram)), "shared-triggers")
+    dictionary = dictionaries(rows, shared, buckets, length, gram)
+    earlier = scratch.stage(earlier_strings(dictionary, length, gram), "earlier-strings")
+    return text_runs(rows, earlier, length, gram)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -49,3 +49,29 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
         (0, 60, 0, text.encode()), (1, 60, 0, text.encode()), (1, 60, 0, text.encode()), (2, 63, 60, "é!".encode()), (3, 0, 0, b""),
     ]
     assert prefix_free.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_no_row_per_string_is_staged(spark, monkeypatch):
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    common = [text(24) for _ in range(40)]
+    docs = {i: "".join(draw.choice(common) + text(12) for _ in range(40)) for i in range(150)}
+    staged, stage = [], prefix_free.Scratch.stage
+    monkeypatch.setattr(prefix_free.Scratch, "stage", lambda *a, **b: staged.append(found := stage(*a, **b)) or found)
+    rows = []
+    monkeypatch.setattr(prefix_free.Scratch, "__exit__", lambda *_: rows.extend(t.count() for t in staged))
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in prefix_free.remove_repeats(table).collect()}
+    assert got == brute(docs)
+    # Triggers are common, whole strings are not: there are some 200,000 strings, and at most a row for each group and bucket.
+    assert sum(rows) < 20_000
+
+
+def test_ids_that_are_no_numbers_and_long_texts(spark):
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("abcd é\n") for _ in range(n))
+    shared = text(100_000)
+    docs = {"b": shared + text(300_000), "a": text(60_000) + shared[:70_000], "é": shared[:500] * 3, "c": text(10) + shared[60_000:60_200]}
+    table = spark.createDataFrame(list(docs.items()), "doc_id string, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in prefix_free.remove_repeats(table).collect()}
+    assert got == brute(docs)
