@@ -1,5 +1,6 @@
 """Round trips of the coder, whole texts against the tokenizers library, and the defined cases."""
 
+import hashlib
 import random
 import zlib
 
@@ -67,3 +68,22 @@ def test_files_stay_and_give_the_ids_back(spark, tmp_path):
     want = [ids.tolist() for ids in coder.token_ids([t or "" for t in texts.values()], coder.token_path())]
     assert got == {i: [*ids, coder.END_ID] for i, ids in zip(texts, want, strict=True)}
     assert "ids" not in coder.read_files(files).columns
+
+
+def test_blocks_are_dealt_evenly_to_lanes(monkeypatch):
+    """A step of the model costs much the same for few lanes as for many, so no few are left over."""
+    ran, model = [], coder._model
+    monkeypatch.setattr(coder, "LANES", 4)
+    monkeypatch.setattr(coder, "_model", lambda *a: ran.append(a[1]) or model(*a))
+    blocks = [np.arange(50) + i for i in range(9)]
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode_blocks(coder.encode_blocks(blocks)), strict=True))
+    assert ran == [3] * 6
+    assert coder.encode_blocks([]) == [] and coder.decode_blocks([]) == []
+
+
+def test_files_of_before_can_be_read():
+    """Encoded by the code before tables were flat."""
+    ids = np.array([7, 9, 7, 9, 65535, 0, 7, 9, 7, 9, 4660, 1] * 30)
+    code = coder.encode_blocks([ids])[0]
+    assert hashlib.sha256(code).hexdigest() == "9634dec030b089724a14ba00257f2ccdfd5f4231f10fbfa0dfe5deed2cd28349"
+    assert np.array_equal(coder.decode_blocks([code])[0], ids)
