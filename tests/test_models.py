@@ -352,6 +352,20 @@ def test_random_settings_draw_seven_parameters():
     assert all(t.depth <= 9 and 2 <= t.max_leaves <= 997 and 5 <= t.patience <= 100 for t in drawn)
 
 
+def test_search_queries_take_the_whole_study(spark, monkeypatch):
+    """1,000 trials of 1,000 trees at the depth they drew, none of them dropped before its five folds."""
+    from recall_queries import dataset_queries, model_queries
+
+    seen = {}
+    tries = spark.createDataFrame([(1, n) for n in range(12)], "learner_id LONG, id_session LONG")
+    monkeypatch.setattr(dataset_queries, "training_set", lambda spark, sf: tries)
+    monkeypatch.setattr(search, "search_boosting", lambda folds, trials, **how: seen.update(how, folds=folds, trials=trials))
+    model_queries.searched(spark, "unused")
+    assert seen["trials"] == search.random_boosting_settings(1_000, seed=1) and {t.trees for t in seen["trials"]} == {1_000}
+    assert max(t.max_depth for t in seen["trials"]) == 30 and seen["drop_trailing"] is False
+    assert sorted(r.fold for r in seen["folds"].select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
 @pytest.fixture(scope="module")
 def graded(points):
     """The points with an id, a category and a number that says nothing; y is in every third row only."""
