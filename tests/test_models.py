@@ -1,5 +1,7 @@
 """Models on data with a known structure; neighbours against brute force."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
@@ -415,6 +417,20 @@ def test_grid_axes(graded):
     assert fits.projections == 4 and fits.classifiers == 16
 
 
+def test_grid_query_takes_the_whole_grid(spark, monkeypatch):
+    """Nothing narrows the penalties, kept features, components, folds or iterations of the study."""
+    from recall_queries import model_queries
+
+    seen, whole = {}, {n: p.default for n, p in inspect.signature(search.logistic_grid).parameters.items()}
+    monkeypatch.setattr(model_queries, "split_rows", lambda spark, sf: spark.createDataFrame([("train",)], "split STRING"))
+    monkeypatch.setattr(search, "logistic_grid", lambda dataset, **axes: seen.update(axes) or dataset)
+    model_queries.m7(spark, "unused")
+    asked = whole | seen
+    assert asked["c_values"] == tuple(np.logspace(0, 4, 16)) and asked["keeps"] == tuple(range(8, 17)) and asked["components"] is None
+    assert asked["folds"] == 5 and asked["max_iter"] == 10_000 and asked["l1"]
+    assert asked["reductions"] == ("None", "PCA") and asked["selections"] == (True, False)
+
+
 def test_grid_without_rows(graded):
     df, spec = graded
     assert search.logistic_grid(df.limit(0), (1.0,), (2,), 2, spec=spec).isEmpty()
