@@ -5,6 +5,7 @@ import inspect
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from recall_queries import dataset_queries, views
@@ -85,6 +86,58 @@ def test_elimination_by_newton_steps_ranks_as_fits_from_zero(spark):
     assert dict(models.eliminate_features(training, [f"x{i}" for i in range(7)], 1, classifier)) == {f"x{i}": r for i, r in (ranks | {left[0]: 1}).items()}
 
 
+def with_an_answer(spark, rows, inputs, seed=3):
+    """Numbers that are partly sums of each other, and labels by some of them."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(rows, inputs))
+    x[:, -1] = x[:, 0] + x[:, 1]
+    x[:, -2] = x[:, 2] + 0.05 * draw.normal(size=rows)
+    y = (x[:, :3] @ [2.0, -1.0, 0.5] + draw.logistic(size=rows) > 0.5).astype(float)
+    data = spark.createDataFrame([([*map(float, r)], float(t)) for r, t in zip(x, y)], "x array<double>, label double")
+    return stage(data.select(array_to_vector("x").alias("all"), "label"), "answer")
+
+
+def test_rows_of_an_elimination_are_written_one_by_one(spark):
+    """A reader takes thousands of cells at a time: each has the numbers of one row, however many rows a task writes."""
+    curved = newton.Curved(with_an_answer(spark, 3000, 6).coalesce(1), 6, 0.001)
+    sizes = spark.read.parquet(curved.path).select(F.octet_length("cell").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert tuple(sizes) == (8 * 7, 3000) and (curved.rows, curved.odd) == (3000, 0) and curved.two_classes
+    curved.end()
+
+
+def test_rounds_of_an_elimination_share_passes(spark, monkeypatch):
+    training, taken = with_an_answer(spark, 800, 12), []
+    counted = newton.Curved._pass
+    monkeypatch.setattr(newton.Curved, "_pass", lambda self, points: taken.append(len(points)) or counted(self, points))
+    dropped = newton.eliminate(training, 12, 2, 1 / 800, 1)
+    together, taken[:] = len(taken), []
+    monkeypatch.setattr(newton, "AHEAD", 1)
+    assert dropped == newton.eliminate(training, 12, 2, 1 / 800, 1) and len(dropped) == 10
+    assert together < 0.75 * len(taken)
+
+
+@pytest.mark.parametrize("l1", [True, False])
+def test_fits_of_a_grid_share_passes(spark, l1):
+    """All penalties and choices reach their own optimum."""
+    training, n = with_an_answer(spark, 700, 8), 700
+    choices, penalties = [(0, 1, 2, 3), (1, 4, 6), tuple(range(8))], [1 / (c * n) for c in (0.01, 1.0, 100.0)]
+    curved = newton.Curved(training, 8)
+    found = newton.penalised_grid(curved, choices, penalties, l1)
+    assert curved.passes < 30
+    x, y = (np.array(v) for v in zip(*[(r[0].toArray(), r[1]) for r in training.collect()], strict=True))
+    for left, some in zip(choices, found, strict=True):
+        for penalty, w in zip(penalties, some, strict=True):
+            a = np.column_stack([x[:, list(left)], np.ones(n)])
+            pull = a.T @ (1 / (1 + np.exp(-a @ w)) - y) / n
+            assert pull[-1] == pytest.approx(0, abs=1e-5)
+            if l1:  # the loss pulls a weight that is not zero as much as the penalty does, and others no more than that
+                at, rest = pull[:-1][w[:-1] != 0], pull[:-1][w[:-1] == 0]
+                assert at == pytest.approx(-penalty * np.sign(w[:-1][w[:-1] != 0]), abs=1e-5) and (np.abs(rest) <= penalty + 1e-5).all()
+            else:
+                assert pull[:-1] == pytest.approx(-penalty * w[:-1], abs=1e-5)
+    curved.end()
+
+
 def test_logistic_model_saves_and_loads(spark, rows, tmp_path):
     model = models.fit_logistic(rows.filter("split = 'train'"), models.LogisticSettings(keep=54, max_iter=30))
     held = rows.filter("split <> 'train'")
