@@ -77,9 +77,9 @@ class Curved:
         rows = training.select(vector_to_array("all").alias("x"), F.col(label).cast("double").alias("y"))
         self.path = new_path(self.spark, "curved")
         self.cells = stage(rows.mapInArrow(_packed, "cell binary, y double"), "curved", self.path)
-        one, zero = F.col("y") == 1.0, F.col("y") == 0.0
-        counted = self.cells.agg(F.count(F.lit(1)), F.count_if(one), F.count_if(~(one | zero)))
-        self.rows, self.ones, self.odd = counted.first()
+        counted = self.cells.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 1.0), F.count_if(F.col("y") == 0.0))
+        self.rows, self.ones, zeros = counted.first()
+        self.odd = self.rows - self.ones - zeros  # an unknown label is one as well
         self.passes = 0
 
     @property

@@ -105,6 +105,15 @@ def test_rows_of_an_elimination_are_written_one_by_one(spark):
     curved.end()
 
 
+def test_unknown_labels_are_left_to_the_classifier(spark):
+    training = with_an_answer(spark, 50, 6)
+    for label in (F.lit(None).cast("double"), F.lit(2.0), F.lit(float("nan"))):
+        odd = training.unionByName(training.limit(1).withColumn("label", label))
+        curved = newton.Curved(odd, 6)
+        assert curved.odd == 1 and not curved.two_classes and newton.eliminate(odd, 6, 2, 0.02, 1) is None
+        curved.end()
+
+
 def test_rounds_of_an_elimination_share_passes(spark, monkeypatch):
     training, taken = with_an_answer(spark, 800, 12), []
     counted = newton.Curved._pass
